@@ -51,7 +51,7 @@ def hash_cuts(df: DataFrame, group: Sequence[str], key: str, quotas: Sequence[Co
     )
     wanted = tally.select(
         *names, "bucket", "n", "before", "here",
-        F.posexplode(F.array(*[q.cast("bigint") for q in quotas])).alias("slot", "quota"),
+        F.posexplode(F.array(*[F.least(q.cast("bigint"), F.col("n")) for q in quotas])).alias("slot", "quota"),
     )
     edge = wanted.where((F.col("quota") > F.col("before")) & (F.col("quota") <= F.col("before") + F.col("here")))
     # null-safe on the group so that a null class is a class of its own
@@ -135,11 +135,40 @@ def ordered_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], we
     )
 
 
+def ordered_best(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str, lowest: bool = False
+) -> DataFrame:
+    """Add the best value so far, this row included, per group in ascending order.
+
+    Sliced like :func:`ordered_totals`, so one long group is no single task's work.
+    """
+    best = F.min if lowest else F.max
+    pick = F.least if lowest else F.greatest
+    parts = shuffle_partitions(df.sparkSession)
+    sliced = materialise(
+        df.repartitionByRange(parts, *[col(c) for c in [*group, *order]]).withColumn("_slice", F.spark_partition_id()))
+    keys = [*group, "_slice"]
+    tops = sliced.groupBy(*[col(k) for k in keys]).agg(best(col(value)).alias("_t"))
+    earlier = Window.partitionBy(*[col(g) for g in group] or [F.lit(0)]).orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1)
+    bases = tops.select(*[col(k) for k in keys], best("_t").over(earlier).alias("_base"))
+    within = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in order]).rowsBetween(
+        Window.unboundedPreceding, 0)
+    return sliced.join(bases, keys).withColumn(name, pick(F.col("_base"), best(col(value)).over(within))).drop("_slice", "_base")
+
+
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "_row_index") -> DataFrame:
     """Add the 0-based position of each row in the given unique order."""
     return ordered_totals(df, [], order, F.lit(1).cast("bigint"), name)
 
 
+def with_point_id(df: DataFrame, key: str | None, name: str = "id") -> DataFrame:
+    """A unique bigint per row of an already grouped frame: its integer key, or a stored row number."""
+    if key is not None and df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return materialise(df.withColumn(name, col(key).cast("bigint")))
+    return materialise(materialise(df).withColumn(name, F.monotonically_increasing_id()))
+
+
 def time_segments(
     df: DataFrame, time_column: str, key: str, quotas: Sequence[int], name: str = "segment"
 ) -> DataFrame:

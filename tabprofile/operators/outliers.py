@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprofile.functions.frames import as_double, col, normalise, numeric_columns, per_column, scalars
-from tabprofile.functions.sampling import hash_sample, unit_hash
+from tabprofile.functions.sampling import hash_sample, unit_hash, with_point_id
 from tabprofile.functions.stats import exact_quantiles
 from tabprofile.operators.neighbours import nearest_neighbours
 from tabprofile.session import materialise
@@ -184,7 +184,7 @@ def lof_scores(df: DataFrame, key: str, columns: Sequence[str] | None = None, ne
     rows = df.withColumn("_x", _filled(df, names))
     total = df.count()
     k = min(neighbours, total - 1)
-    points = materialise(rows.groupBy("_x").agg(F.min(col(key)).alias("id"), F.count(F.lit(1)).alias("n")))
+    points = with_point_id(rows.groupBy("_x").agg(F.min(col(key)).alias("k"), F.count(F.lit(1)).alias("n")), "k").drop("k")
     near = materialise(nearest_neighbours(points.select("id", F.col("_x").alias("x"), "n"), k))
     reach = near.groupBy("id").agg(F.max("distance").alias("reach"))
     with_reach = near.join(reach.select(F.col("id").alias("other"), "reach"), "other")
