@@ -147,25 +147,26 @@ def metric_regression(spark, d):
 
 # ---- models ---------------------------------------------------------------------------------
 
-PRICE_TASK = TaskSpec("regression", "l_extendedprice", "rmse")
+PRICE_TASK = TaskSpec("regression", "charge", "rmse")
 FLAG_TASK = TaskSpec("classification", "expensive", "roc_auc")
 BAND_TASK = TaskSpec("classification", "band", "f1")
 STEPS = [
-    FeatureStep("scale", ["l_quantity", "l_discount", "l_tax", "l_partkey"], {"method": "standard"}),
+    FeatureStep("scale", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], {"method": "standard"}),
     FeatureStep("encode", ["l_returnflag"], {"method": "target"}),
 ]
 
 
 def _lines(spark, d):
-    price = F.col("l_extendedprice")
+    """Order lines with their full charge: a number, a yes/no and a band to predict."""
+    charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     return read(spark, d, "lineitem").select(
-        "l_quantity", "l_discount", "l_tax", "l_partkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_shipdate",
-        (price > 60000).alias("expensive"),
-        F.when(price > 70000, "high").when(price > 30000, "middle").otherwise("low").alias("band"))
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_shipdate",
+        charge.alias("charge"), (charge > 60000).alias("expensive"),
+        F.when(charge > 70000, "high").when(charge > 30000, "middle").otherwise("low").alias("band"))
 
 
 def _prepared(spark, d, task):
-    others = {"l_extendedprice", "expensive", "band", "l_shipdate"} - {task.target_column, task.time_column}
+    others = {"charge", "expensive", "band", "l_shipdate"} - {task.target_column, task.time_column}
     return T.prepare(_lines(spark, d).drop(*others), task)
 
 
@@ -202,7 +203,7 @@ _register_training("train_boosting_regressor", PRICE_TASK, "GradientBoostingRegr
 @query("train_forecast")
 def train_forecast(spark, d):
     """A regression whose split and folds follow time."""
-    task = TaskSpec("forecasting", "l_extendedprice", "mae", time_column="l_shipdate")
+    task = TaskSpec("forecasting", "charge", "mae", time_column="l_shipdate")
     return _metric_rows(spark, _trained(spark, d, task, "Ridge", {"alpha": 1.0})[1])
 
 
@@ -286,12 +287,12 @@ def shap_linear(spark, d):
 
 @query("shap_rows", f"""
 WITH {_OLS} SELECT o_orderkey AS key, CASE WHEN abs(wa * (a - ma)) >= abs(wb * (b - mb)) THEN 'o_custkey' ELSE 'day' END AS top,
- round(greatest(abs(wa * (a - ma)), abs(wb * (b - mb))), 3) AS size, round(y0 + wa * (ma - a0) + wb * (mb - b0), 3) AS base FROM o, w, c""")
+ round(greatest(abs(wa * (a - ma)), abs(wb * (b - mb))), 1) AS size, round(y0 + wa * (ma - a0) + wb * (mb - b0), 3) AS base FROM o, w, c""")
 def shap_rows(spark, d):
     prepared, model = _plain_model(spark, d)
     rows = X.row_impact(X.attributions(model, prepared.data, prepared.data, "o_orderkey"))
     first = F.col("contributions")[0]
-    return rows.select("key", first["feature"].alias("top"), rounded(F.abs(first["phi"]), 3).alias("size"), rounded("base", 3).alias("base"))
+    return rows.select("key", first["feature"].alias("top"), rounded(F.abs(first["phi"]), 1).alias("size"), rounded("base", 3).alias("base"))
 
 
 @query("local_example", f"""

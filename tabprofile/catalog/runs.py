@@ -18,7 +18,7 @@ def run_table(spark, d):
     buys = F.count_if(F.col("event_type") == "purchase")
     per_run = e.groupBy(F.col("user_id").alias("run_id")).agg(
         F.date_trunc("day", F.min("ts")).alias("created_at"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("row_count"),
-        F.countDistinct("event_type").alias("column_count"), F.round(F.avg("value") / 100, 8).alias("quality_score"),
+        F.countDistinct("event_type").alias("column_count"), (F.avg("value") / 100).alias("quality_score"),
         errors.alias("errors"), buys.alias("buys"))
     status = F.when(F.col("errors") > F.col("buys"), "failed").when(F.col("errors") < F.col("buys"), "completed").otherwise("running")
     return per_run.select(
@@ -33,7 +33,7 @@ RUNS = """runs AS (SELECT run_id, 'data_' || run_id::VARCHAR AS filename,
   CASE WHEN errors <> buys THEN last END AS finished_at, CASE WHEN quality_score > 0.48 THEN 'f1' ELSE 'rmse' END AS metric,
   CASE WHEN quality_score > 0.5 THEN run_id - 1 END AS source_run_id, row_count, column_count, quality_score FROM
  (SELECT user_id AS run_id, date_trunc('day', min(ts)) AS created_at, max(ts) AS last, count(*) AS row_count,
-   count(DISTINCT event_type) AS column_count, round(avg(value) / 100, 8) AS quality_score,
+   count(DISTINCT event_type) AS column_count, avg(value) / 100 AS quality_score,
    count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS buys FROM events GROUP BY user_id))"""
 
 _NODES = ["click", "error", "purchase", "signup", "view"]
@@ -113,9 +113,9 @@ def run_list(spark, d):
 
 
 @query("dataset_list", f"""
-WITH {RUNS} SELECT run_id, filename, status, row_count, column_count, quality_score FROM runs WHERE source_run_id IS NULL""")
+WITH {RUNS} SELECT run_id, filename, status, row_count, column_count, round(quality_score, 10) AS quality_score FROM runs WHERE source_run_id IS NULL""")
 def dataset_list(spark, d):
-    return R.dataset_list(run_table(spark, d)).drop("created_at")
+    return R.dataset_list(run_table(spark, d)).drop("created_at").withColumn("quality_score", rounded("quality_score", 10))
 
 
 def _stored_traces(spark, d, name):

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import as_double, chunks, scalars
-
-# Rank error of the sketch is n / SKETCH_ACCURACY, so brackets are that narrow.
-SKETCH_ACCURACY = 10_000
-# Distinct values one task may hold when the last bracket is resolved exactly.
-BRACKET_LIMIT = 1_000_000
+from tabprofile.session import shuffle_partitions
+
+# Sketch sizes for moderate and for very large columns, with safe bounds on their rank errors.
+SKETCH_SIZES = ((100_000_000, 4_096, 0.003), (float("inf"), 32_768, 0.0005))
+# Sketches of all tasks meet in this many groups first, so that no task merges them all.
+SKETCH_GROUPS = 128
+# Rows of the last bracket, which one task resolves value by value.
+BRACKET_LIMIT = 100_000
 # Up to this many values a column's quartiles come from one direct aggregate.
-DIRECT_LIMIT = 1_000_000
+DIRECT_LIMIT = 50_000
 
 
 def skewness(value: Column) -> Column:
@@ -52,9 +55,9 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles of each column, without sorting or shuffling the data.
 
     A mergeable sketch brackets every wanted rank; one pass counts what lies below and inside each
-    bracket, and brackets are narrowed by further passes until what is left fits one task.  Only
-    the final bracket is resolved value by value.  A value that repeats without bound cannot hurt:
-    its bracket shrinks to that one value.
+    bracket, so a bracket that missed is noticed and widened, and a large one is narrowed by
+    further passes.  Only the final, bounded bracket is resolved value by value.  A value that
+    repeats without bound cannot hurt: its bracket shrinks to that one value.
     """
     exprs = exprs or {name: as_double(df, name) for name in names}
     exprs = {name: F.when(F.isnotnull(e) & ~F.isnan(e), e) for name, e in exprs.items()}
@@ -62,14 +65,9 @@ def exact_quantiles(
     small = [name for name in names if 0 < counts[name] <= direct_limit]
     direct = scalars(df, {name: F.percentile(exprs[name], list(map(float, probs))) for name in small}) if small else {}
 
-    wanted = {}
-    for name in names:
-        if counts[name] > direct_limit:
-            for p in probs:
-                h = p * (counts[name] - 1)
-                wanted[name, math.floor(h)] = None
-                wanted[name, math.ceil(h)] = None
-    found = _order_statistics(df, exprs, counts, list(wanted), bracket_limit) if wanted else {}
+    ranks = lambda name, p: (name, math.floor(p * (counts[name] - 1)), math.ceil(p * (counts[name] - 1)))
+    wanted = {ranks(name, p) for name in names for p in probs if counts[name] > direct_limit}
+    found = _order_statistics(df, exprs, counts, sorted(wanted), bracket_limit) if wanted else {}
 
     out: dict[str, list[float | None]] = {}
     for name in names:
@@ -81,8 +79,8 @@ def exact_quantiles(
         else:
             out[name] = []
             for p in probs:
+                low, high = found[ranks(name, p)]
                 h = p * (n - 1)
-                low, high = found[name, math.floor(h)], found[name, math.ceil(h)]
                 out[name].append(low + (high - low) * (h - math.floor(h)))
     return out
 
@@ -93,14 +91,15 @@ def order_statistics(
     """The values at 0-based ``ranks`` of the ascending order of one numeric expression."""
     exprs = {"v": F.when(F.isnotnull(value) & ~F.isnan(value), value)}
     counts = scalars(df, {"v": F.count(exprs["v"])})
-    got = _order_statistics(df, exprs, counts, [("v", r) for r in ranks], bracket_limit)
-    return {rank: v for (_, rank), v in got.items()}
+    got = _order_statistics(df, exprs, counts, [("v", r, r) for r in ranks], bracket_limit)
+    return {rank: v for (_, rank, _), (v, _) in got.items()}
 
 
 def _order_statistics(df, exprs, counts, targets, bracket_limit):
+    """(column, rank, same or next rank) -> the two values."""
     columns = {name: f"x{i}" for i, name in enumerate(exprs)}
     data = df.select(*[expr.alias(columns[name]) for name, expr in exprs.items()])
-    found: dict[tuple[str, int], float] = {}
+    found: dict[tuple[str, int, int], tuple[float, float]] = {}
     # per target: bracket ends, rows below the bracket, rows inside it, widening of the next bracket
     open_ = {t: (None, None, 0, counts[t[0]], 1) for t in targets}
     while open_:
@@ -113,15 +112,15 @@ def _order_statistics(df, exprs, counts, targets, bracket_limit):
                 ("below", F.count_if(F.col(columns[b[0]]) < F.lit(b[1]))),
                 ("inside", F.count(_within(F.col(columns[b[0]]), b[1], b[2]))),
             )
-        })
+        }, per_pass=100)
         narrow, last = {}, {}
         for t, (old_lo, old_hi, old_below, old_size, widen) in open_.items():
             lo, hi = ends[t]
             below, size = tallies[(t[0], lo, hi), "below"], tallies[(t[0], lo, hi), "inside"]
-            if not below <= t[1] < below + size:
+            if not (below <= t[1] and t[2] < below + size):
                 narrow[t] = (old_lo, old_hi, old_below, old_size, widen * 4)
             elif lo == hi:
-                found[t] = float(lo)
+                found[t] = (float(lo), float(lo))
             elif size <= bracket_limit or size == old_size:
                 last[t] = (lo, hi, below, size)
             else:
@@ -130,12 +129,14 @@ def _order_statistics(df, exprs, counts, targets, bracket_limit):
             inside = data.select(*[
                 _within(F.col(columns[t[0]]), last[t][0], last[t][1]).alias(f"p{i}") for i, t in enumerate(group)
             ])
+            inside = inside.where(F.coalesce(*[F.col(f"p{i}") for i in range(len(group))]).isNotNull())
             # half a step up keeps the share clear of rounding at the wanted rank
+            share = lambda t, rank: f"{(rank - last[t][2] + 0.5) / last[t][3]!r}D"
             row = inside.agg(*[
-                F.expr(f"percentile_disc({(t[1] - last[t][2] + 0.5) / last[t][3]!r}D) WITHIN GROUP (ORDER BY p{i})")
+                F.expr(f"percentile_disc(array({share(t, t[1])}, {share(t, t[2])})) WITHIN GROUP (ORDER BY p{i})")
                 for i, t in enumerate(group)
             ]).first()
-            found.update({t: float(row[i]) for i, t in enumerate(group)})
+            found.update({t: (float(pair[0]), float(pair[1])) for t, pair in zip(group, row)})
         open_ = narrow
     return found
 
@@ -145,17 +146,29 @@ def _bracket_ends(data, columns, open_):
     shared: dict[tuple, list] = {}
     for t, (lo, hi, _, _, _) in open_.items():
         shared.setdefault((t[0], lo, hi), []).append(t)
-    positions = {
-        b: [_around(t[1] - open_[t][2], open_[t][3], open_[t][4]) for t in members] for b, members in shared.items()
-    }
-    sketches = scalars(data, {
-        b: F.percentile_approx(
-            _within(F.col(columns[b[0]]), b[1], b[2]), [p for pair in positions[b] for p in pair], SKETCH_ACCURACY)
-        for b in shared
-    }, per_pass=60)
-    return {
-        t: (sketches[b][2 * i], sketches[b][2 * i + 1]) for b, members in shared.items() for i, t in enumerate(members)
-    }
+    out = {}
+    groups = min(SKETCH_GROUPS, shuffle_partitions(data.sparkSession))
+    for batch in chunks(list(shared), 60):
+        sizes = [open_[shared[b][0]][3] for b in batch]
+        places = data.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        partial = places.groupBy("g").agg(*[
+            F.call_function("kll_sketch_agg_double", _within(F.col(columns[b[0]]), b[1], b[2]), F.lit(_sketch(n)[1])).alias(f"k{i}")
+            for i, (b, n) in enumerate(zip(batch, sizes))
+        ])
+        lists = partial.agg(*[F.collect_list(f"k{i}").alias(f"k{i}") for i in range(len(batch))])
+        row = lists.select(*[
+            F.call_function("kll_sketch_get_quantile_double", F.reduce(
+                F.slice(f"k{i}", 2, groups), F.col(f"k{i}")[0], lambda x, y: F.call_function("kll_sketch_merge_double", x, y)),
+                F.array(*[F.lit(p) for t in shared[b] for p in _around(t[1] - open_[t][2], t[2] - open_[t][2], n, open_[t][4])]))
+            for i, (b, n) in enumerate(zip(batch, sizes))
+        ]).first()
+        for b, ends in zip(batch, row):
+            out.update({t: (ends[2 * i], ends[2 * i + 1]) for i, t in enumerate(shared[b])})
+    return out
+
+
+def _sketch(size: int) -> tuple:
+    return next(s for s in SKETCH_SIZES if size <= s[0])
 
 
 def _within(value: Column, lo, hi) -> Column:
@@ -164,8 +177,8 @@ def _within(value: Column, lo, hi) -> Column:
     return F.when((value >= F.lit(lo)) & (value <= F.lit(hi)), value)
 
 
-def _around(rank: int, size: int, widen: int) -> list[float]:
-    """Sketch positions that enclose ``rank`` of ``size`` values despite the sketch's rank error."""
-    margin = widen * (3.0 / SKETCH_ACCURACY + 1.5 / max(size, 1))
-    share = rank / max(size - 1, 1)
-    return [max(0.0, share - margin), min(1.0, share + margin)]
+def _around(first: int, last: int, size: int, widen: int) -> list[float]:
+    """Sketch positions that enclose two ranks of ``size`` values despite the sketch's rank error."""
+    margin = widen * (_sketch(size)[2] + 1.5 / max(size, 1))
+    steps = max(size - 1, 1)
+    return [max(0.0, first / steps - margin), min(1.0, last / steps + margin)]

@@ -17,8 +17,8 @@ from tabprofile.session import materialise, shuffle_partitions
 
 METHODS = ("pearson", "spearman", "kendall", "mutual_info")
 MAX_COLUMNS = 50
-# Up to this many pairs the matrix is one set of built-in aggregates, beyond it a matrix product.
-PAIRS_PER_AGGREGATE = 120
+# Up to this many sums the matrix is a set of built-in aggregates, beyond it a matrix product.
+TERMS_PER_AGGREGATE = 200
 INFORMATION_BINS = 10
 # Slices per side of the rank grid; the grid of one pair has at most the square of this.
 MAX_SLICES = 2048
@@ -64,49 +64,73 @@ def _pairs_with_diagonal(names: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def pearson(df: DataFrame, names: Sequence[str], exprs: dict[str, Column] | None = None) -> DataFrame:
-    """Pairwise-complete Pearson; undefined entries (a constant column, also on the diagonal) are 0."""
+    """Pairwise-complete Pearson; undefined entries (a constant column, also on the diagonal) are 0.
+
+    Columns are shifted by their means, so that sums of products keep their digits.  Columns without
+    gaps share their sums between all pairs; few sums are one built-in aggregate, many are matrix
+    products.
+    """
     exprs = exprs or {n: as_double(df, n) for n in names}
-    pairs = _pairs_with_diagonal(names)
-    if len(pairs) > PAIRS_PER_AGGREGATE:
-        return _both_ways(_pearson_by_product(df, names, exprs))
-    wide = df.agg(*[correlation(exprs[a], exprs[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("value"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return _both_ways(wide.select(F.inline(F.array(*rows))))
+    facts = scalars(df, {
+        (n, k): e for n in names
+        for k, e in (("mean", F.avg(exprs[n])), ("gaps", F.count_if(exprs[n].isNull())), ("rows", F.count(F.lit(1))))
+    })
+    means = {n: facts[n, "mean"] for n in names}
+    gaps = {n: facts[n, "gaps"] > 0 for n in names}
+    x = {n: exprs[n] - F.lit(means[n] or 0.0) for n in names}
 
+    def seen(a: str, b: str, term: Column, key: tuple) -> tuple[tuple, Column]:
+        # rows where b is present; no restriction when b never lacks
+        return ((*key, b), F.when(exprs[b].isNotNull(), term)) if gaps[b] and a != b else ((*key, None), term)
 
-def _pearson_by_product(df: DataFrame, names: Sequence[str], exprs: dict[str, Column]) -> DataFrame:
-    """Sums of products per task as one matrix product, added up per matrix row afterwards.
+    pairs = _pairs_with_diagonal(names)
+    sums: dict[tuple, Column] = {}
+    parts: dict[tuple[str, str], list[tuple]] = {}
+    for a, b in pairs:
+        terms = [
+            seen(a, b, x[a], ("s", a)), seen(b, a, x[b], ("s", b)), seen(a, b, x[a] * x[a], ("q", a)),
+            seen(b, a, x[b] * x[b], ("q", b)), (("p", a, b), x[a] * x[b]), seen(a, b, exprs[a], ("n", a)),
+        ]
+        parts[a, b] = [key for key, _ in terms]
+        sums |= dict(terms)
+    if len(sums) > TERMS_PER_AGGREGATE:
+        return _both_ways(_pearson_by_product(df, names, exprs, means))
+    found = scalars(df, {k: F.count(e) if k[0] == "n" else F.coalesce(F.sum(e), F.lit(0.0)) for k, e in sums.items()}, per_pass=100)
+    rows = [(a, b, _coefficient(*[float(found[k]) for k in parts[a, b]])) for a, b in pairs]
+    return _both_ways(df.sparkSession.createDataFrame(rows, _EMPTY))
+
+
+def _coefficient(sa: float, sb: float, qa: float, qb: float, p: float, n: float) -> float:
+    if n < 2:
+        return 0.0
+    va, vb = qa - sa * sa / n, qb - sb * sb / n
+    # what remains of a constant column's spread is rounding noise of its squares
+    if va <= 1e-12 * qa or vb <= 1e-12 * qb:
+        return 0.0
+    return max(-1.0, min(1.0, (p - sa * sb / n) / (va**0.5 * vb**0.5)))
 
-    Columns are shifted by their means first so that the sums keep their digits.
-    """
-    means = scalars(df, {n: F.avg(exprs[n]) for n in names})
-    shifted = df.select(F.array(*[
-        F.coalesce(exprs[n] - F.lit(means[n]), F.lit(float("nan"))) if means[n] is not None else F.lit(float("nan"))
-        for n in names
-    ]).alias("x"))
 
+def _pearson_by_product(
+    df: DataFrame, names: Sequence[str], exprs: dict[str, Column], means: dict[str, float | None]
+) -> DataFrame:
+    """Sums of products per task as one matrix product, added up per matrix cell afterwards."""
+    shifted = df.select(*[(exprs[n] - F.lit(means[n] or 0.0)).alias(f"x{i}") for i, n in enumerate(names)])
     width = len(names)
 
     def products(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         sums = np.zeros((4, width, width))
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            x = np.stack(batch["x"].to_numpy())
-            seen = ~np.isnan(x)
-            x, m = np.where(seen, x, 0.0), seen.astype(float)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            present = ~np.isnan(x)
+            x, m = np.where(present, x, 0.0), present.astype(float)
             sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        yield pd.DataFrame({
-            "i": np.arange(width), "n": list(sums[0]), "s": list(sums[1]), "q": list(sums[2]), "p": list(sums[3]),
-        })
+        yield pa.RecordBatch.from_pydict({
+            "i": pa.array(range(width), pa.int32()), **{k: list(map(list, sums[j])) for j, k in enumerate("nsqp")}})
 
-    partial = shifted.mapInPandas(products, "i int, n array<double>, s array<double>, q array<double>, p array<double>")
+    partial = shifted.mapInArrow(products, "i int, n array<double>, s array<double>, q array<double>, p array<double>")
     cells = (
         partial.select("i", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("j", "c"))
         .groupBy("i", "j").agg(*[F.sum(f"c.{k}").alias(k) for k in ("n", "s", "q", "p")])
@@ -119,7 +143,7 @@ def _pearson_by_product(df: DataFrame, names: Sequence[str], exprs: dict[str, Co
     va, vb = F.col("q") - F.try_divide(F.col("s") ** 2, n), F.col("q2") - F.try_divide(F.col("s2") ** 2, n)
     # what remains of a constant column's spread is rounding noise of its squares
     spread = F.when((va > 1e-12 * F.col("q")) & (vb > 1e-12 * F.col("q2")), F.sqrt(va) * F.sqrt(vb))
-    r = F.coalesce(F.greatest(F.least(F.try_divide(cov, spread), F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+    r = F.when(spread.isNotNull(), F.greatest(F.least(cov / spread, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
     labels = F.array(*[F.lit(n) for n in names])
     return both.select(labels[F.col("i")].alias("col_a"), labels[F.col("j")].alias("col_b"), r.alias("value"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprofile.functions.frames import col, union_all
+from tabprofile.functions.frames import col
 from tabprofile.functions.sampling import hash_segments, unit_hash, with_point_id
 from tabprofile.operators.neighbours import nearest_neighbours
 from tabprofile.session import materialise
@@ -56,43 +56,51 @@ def smote(df: DataFrame, target: str, key: str, features: Sequence[str] | str, n
     x = col(features) if as_array else F.array(*[col(f).cast("double") for f in features])
     base = materialise(df.where(col(target).isNotNull()).select(col(key).alias("k"), col(target).alias("t"), x.alias("x")))
     sizes = class_sizes(base, "t")
-    largest, least = max(sizes.values()), min(sizes.values())
-    k = min(neighbours or SMOTE_NEIGHBOURS, least - 1)
+    k = min(neighbours or SMOTE_NEIGHBOURS, min(sizes.values()) - 1)
     if k < 1:
         raise ValueError("interpolation needs at least two rows in every class")
-    made = [
-        _between_neighbours(base.where(F.col("t") == F.lit(label)), size, largest - size, k)
-        for label, size in sizes.items() if size < largest
-    ]
-    original = base.select("k", "t", "x", F.lit(False).alias("is_synthetic"))
-    rows = union_all([original, *made])
+    made = _between_neighbours(base, sizes, k)
+    rows = base.select("k", "t", "x", F.lit(False).alias("is_synthetic")).unionByName(made)
     shown = [col("x").alias(features)] if as_array else [F.col("x")[i].alias(f) for i, f in enumerate(features)]
     return rows.select(F.col("k").alias(key), F.col("t").alias(target), *shown, "is_synthetic")
 
 
-def _between_neighbours(rows: DataFrame, size: int, wanted: int, k: int) -> DataFrame:
-    points = with_point_id(rows.groupBy("x").agg(
-        F.min("k").alias("k"), F.count(F.lit(1)).alias("n")), "k").select("id", "x", "n")
+def _between_neighbours(base: DataFrame, sizes: dict[object, int], k: int) -> DataFrame:
+    """The synthetic rows of all classes below the largest, from one neighbour search.
+
+    Each class is moved away from the others along an extra dimension by more than the data's
+    extent, so that a row's nearest rows are always of its own class.
+    """
+    largest = max(sizes.values())
+    small = sorted((c for c, n in sizes.items() if n < largest), key=str)
+    rows = base.where(F.col("t").isin(small)) if small else base.limit(0)
+    far = rows.select(F.array_max(F.transform("x", lambda v: F.abs(v))).alias("m"), F.size("x").alias("w")).agg(
+        F.max(F.col("m") * F.col("w"))).first()[0]
+    class_at = F.create_map(*[F.lit(v) for i, c in enumerate(small or [None]) for v in (c if small else 0, float(i))])
+    shelf = F.element_at(class_at, F.col("t")) * F.lit(4.0 * (far or 0.0) + 1.0)
+    points = with_point_id(rows.groupBy("t", "x").agg(
+        F.min("k").alias("k"), F.count(F.lit(1)).alias("n")), "k").select("id", "t", "x", "n")
+    near = nearest_neighbours(points.select("id", F.concat("x", F.array(shelf)).alias("x"), "n"), k)
     # each of the k slots of a point names one neighbour; copies of a neighbour fill several slots
-    near = nearest_neighbours(points, k)
     slots = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "other", "copies"))).alias("s"))
     slots = slots.select("id", F.flatten(F.transform("s", lambda e: F.array_repeat(e["other"], e["copies"].cast("int")))).alias("s"))
-    ids = points.select(F.col("x"), F.col("id"))
-    every, extra = divmod(wanted, size)
-    placed = hash_segments(rows, [], "k", [F.lit(extra)], "smote", "_later").join(ids, "x")
-    times = F.lit(every) + F.when(F.col("_later") == 0, 1).otherwise(0)
+    n = F.col("n").cast("bigint")
+    counts = F.create_map(*[F.lit(v) for c in small or [0] for v in (c, sizes.get(c, 0))])
+    extra = hash_segments(rows, ["t"], "k", [(F.lit(largest) - n) % n], "smote", "_later")
+    placed = extra.join(points.select("t", "x", "id"), ["t", "x"])
+    size = F.element_at(counts, F.col("t"))
+    times = F.floor((F.lit(largest) - size) / size) + F.when(F.col("_later") == 0, 1).otherwise(0)
     drawn = (
-        placed.where(times > 0)
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+        placed.withColumn("times", times).where("times > 0")
+        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
         .withColumn("tag", F.concat_ws(":", F.col("k").cast("string"), F.col("draw").cast("string")))
         .join(slots, "id")
         .withColumn("slot", F.floor(unit_hash("tag", "neighbour") * F.size("s")).cast("int"))
         .select("t", "x", "tag", F.col("s")[F.col("slot")].alias("other"))
     )
     there = points.select(F.col("id").alias("other"), F.col("x").alias("y"))
-    u = unit_hash("tag", "step")
-    return drawn.join(there, "other").withColumn("u", u).select(
-        F.lit(None).cast(rows.schema["k"].dataType).alias("k"), "t",
+    return drawn.join(there, "other").withColumn("u", unit_hash("tag", "step")).select(
+        F.lit(None).cast(base.schema["k"].dataType).alias("k"), "t",
         F.transform(F.arrays_zip("x", "y"), lambda e: e["x"] + F.col("u") * (e["y"] - e["x"])).alias("x"),
         F.lit(True).alias("is_synthetic"))
 
