@@ -1 +1 @@
-
+"""Column expressions, statistics, sampling and ranking that the operators share."""

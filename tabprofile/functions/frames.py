@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Aggregates per generated stage; wider tables are split so each plan stays compilable.
-COLUMNS_PER_AGGREGATE = 60
+# Aggregates per pass; wider tables take several passes so that generated code stays compilable.
+AGGREGATES_PER_PASS = 100
+# A table joined by broadcast has at most this many rows, counted before the hint is given.
+BROADCAST_ROWS = 20_000
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATS = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -108,7 +110,6 @@ def per_column(
     df: DataFrame,
     names: Sequence[str],
     stats: dict[str, Callable[[str], Column]],
-    columns_per_aggregate: int = COLUMNS_PER_AGGREGATE,
 ) -> DataFrame:
     """One row per column: ``column, position`` and one field per entry of ``stats``.
 
@@ -120,7 +121,7 @@ def per_column(
         raise ValueError("no columns to aggregate")
     place = {name: i for i, name in enumerate(df.columns)}
     parts = []
-    for group in chunks(names, columns_per_aggregate):
+    for group in chunks(names, max(1, AGGREGATES_PER_PASS // len(stats))):
         wide = df.agg(*[
             stats[stat](name).alias(f"s{i}_{j}")
             for i, name in enumerate(group)
@@ -138,7 +139,7 @@ def per_column(
     return union_all(parts)
 
 
-def scalars(df: DataFrame, exprs: dict[str, Column], per_pass: int = 300) -> dict[str, object]:
+def scalars(df: DataFrame, exprs: dict[str, Column], per_pass: int = AGGREGATES_PER_PASS) -> dict[str, object]:
     """Evaluate named aggregates and bring the single result row to the driver."""
     out: dict[str, object] = {}
     for group in chunks(list(exprs), per_pass):
@@ -147,6 +148,17 @@ def scalars(df: DataFrame, exprs: dict[str, Column], per_pass: int = 300) -> dic
     return out
 
 
+def small_or_same(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame's rows as a broadcast table if there are few, else the frame unchanged.
+
+    The rows are fetched once, so a small lookup table is also not computed again by each use.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def _family(dtype: T.DataType) -> str:
     if isinstance(dtype, T.BooleanType) or is_integer(dtype):
         return "bigint"

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprofile.functions.frames import col, require_columns
+from tabprofile.functions.frames import col, require_columns, small_or_same
 from tabprofile.functions.stats import order_statistics
 from tabprofile.session import materialise, shuffle_partitions
 
@@ -53,7 +53,8 @@ def hash_cuts(df: DataFrame, group: Sequence[str], key: str, quotas: Sequence[Co
         *names, "bucket", "n", "before", "here",
         F.posexplode(F.array(*[F.least(q.cast("bigint"), F.col("n")) for q in quotas])).alias("slot", "quota"),
     )
-    edge = wanted.where((F.col("quota") > F.col("before")) & (F.col("quota") <= F.col("before") + F.col("here")))
+    edge = small_or_same(
+        wanted.where((F.col("quota") > F.col("before")) & (F.col("quota") <= F.col("before") + F.col("here"))))
     # null-safe on the group so that a null class is a class of its own
     d, e = data.alias("d"), edge.alias("e")
     same = [F.col(f"d.{n}").eqNullSafe(F.col(f"e.{n}")) for n in names] + [F.col("d.bucket") == F.col("e.bucket")]
@@ -84,7 +85,8 @@ def hash_segments(
     segment 1 the rows up to ``q1``, and so on.
     """
     cuts = hash_cuts(df, group, key, quotas, salt)
-    renamed = cuts.select(*[col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("cuts").alias("_cuts"))
+    renamed = small_or_same(
+        cuts.select(*[col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("cuts").alias("_cuts")))
     match = [col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] or [F.lit(True)]
     here = F.struct(unit_hash(key, salt).alias("u"), col(key).alias("k"))
     beyond = F.size(F.filter("_cuts", lambda c: c.isNull() | (c < F.col("_here"))))
@@ -129,7 +131,7 @@ def ordered_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], we
     within = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, -1)
     return (
-        sliced.join(bases, keys)
+        sliced.join(small_or_same(bases), keys)
         .withColumn(name, F.col("_base") + F.coalesce(F.sum("_w").over(within), F.lit(0)))
         .drop("_w", "_slice", "_base")
     )
@@ -154,7 +156,7 @@ def ordered_best(
     bases = tops.select(*[col(k) for k in keys], best("_t").over(earlier).alias("_base"))
     within = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, 0)
-    return sliced.join(bases, keys).withColumn(name, pick(F.col("_base"), best(col(value)).over(within))).drop("_slice", "_base")
+    return sliced.join(small_or_same(bases), keys).withColumn(name, pick(F.col("_base"), best(col(value)).over(within))).drop("_slice", "_base")
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "_row_index") -> DataFrame:

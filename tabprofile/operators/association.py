@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import (
-    as_double, col, normalise, numeric_columns, per_column, scalars, union_all, value_counts,
+    as_double, col, normalise, numeric_columns, per_column, scalars, small_or_same, union_all, value_counts,
 )
 from tabprofile.functions.sampling import ordered_totals
 from tabprofile.functions.stats import correlation, exact_quantiles
@@ -175,7 +175,7 @@ def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
     rows = values
     for name in columns:
         table = ranks.where(F.col("column") == name).select(F.col("value").alias(name), F.col("rank").alias(f"r_{name}"))
-        rows = rows.join(table, name, "left")
+        rows = rows.join(small_or_same(table), name, "left")
     wide = rows.agg(*[
         correlation(F.col(f"r_{x}"), F.col(f"r_{y}")).alias(f"c{i}") for i, (x, y) in enumerate(used.values())
     ])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprofile.functions.frames import col
+from tabprofile.functions.frames import col, small_or_same
 from tabprofile.functions.sampling import hash_segments, unit_hash, with_point_id
 from tabprofile.operators.neighbours import nearest_neighbours
 from tabprofile.session import materialise
@@ -32,7 +32,7 @@ def random_oversample(df: DataFrame, target: str, key: str) -> DataFrame:
     sizes = df.where(col(target).isNotNull()).groupBy(col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
     repeats = F.floor(F.lit(largest) / F.col("_n")) + F.when(F.col("_later") == 0, 1).otherwise(0)
     return (
-        marked.join(sizes, col(target) == F.col("_class"))
+        marked.join(small_or_same(sizes), col(target) == F.col("_class"))
         .withColumn("copy", F.explode(F.sequence(F.lit(0), (repeats - 1).cast("int"))))
         .drop("_later", "_class", "_n")
     )

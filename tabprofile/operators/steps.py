@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import (
-    as_double, col, is_datetime, normalise, require_columns, scalars, type_of, value_counts,
+    as_double, col, is_datetime, normalise, require_columns, scalars, small_or_same, type_of, value_counts,
 )
 from tabprofile.functions.sampling import with_row_index
 from tabprofile.operators.columns import edges_reached
@@ -77,7 +77,7 @@ def encode_ordinal(df: DataFrame, columns: Sequence[str], map_limit: int = MAX_C
         else:
             table = with_row_index(distinct, ["t"], "code").select("t", F.col("code").cast("double").alias("code"))
             order = df.columns
-            df = df.withColumn("t", text).join(table, "t", "left").drop(c, "t").withColumnRenamed("code", c).select(
+            df = df.withColumn("t", text).join(small_or_same(table), "t", "left").drop(c, "t").withColumnRenamed("code", c).select(
                 *[col(o) for o in order])
     return df
 

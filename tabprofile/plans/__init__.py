@@ -1 +1 @@
-
+"""Task descriptions, suggested steps, preprocessing, training and explanation."""

@@ -13,11 +13,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprofile.functions.frames import as_double, col, is_nested, is_numeric, normalise, scalars, type_of
+from tabprofile.functions.frames import as_double, col, is_nested, is_numeric, normalise, scalars, small_or_same, type_of
 from tabprofile.functions.sampling import unit_hash
 from tabprofile.functions.stats import exact_quantiles
 from tabprofile.operators.steps import modes
 from tabprofile.plans.spec import FeatureStep
+from tabprofile.session import materialise
 
 ENCODING_FOLDS = 5
 SCALERS = ("standard", "minmax", "robust")
@@ -111,7 +112,7 @@ def fit_encoding(train: DataFrame, column: str, target: Column, fold: Column, la
 
     Rows collapse to (category, fold) sums; a fold's view is the total minus its own part.
     """
-    center = train.agg(F.avg(target)).first()[0] or 0.0  # sums of small numbers keep their digits
+    center = train.agg(F.avg(target)).first()[0] or 0.0  # shifted sums keep their digits
     y = target - F.lit(center)
     cells = train.select(col(column).cast("string").alias("v"), fold.alias("f"), y.alias("y")).groupBy("v", "f").agg(
         F.count("y").cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
@@ -134,7 +135,13 @@ def fit_encoding(train: DataFrame, column: str, target: Column, fold: Column, la
     left = known.select("v", "f", *[r.alias(c) for r, c in zip(rest, "nsq")])
     folds = left.select("v", "f", (_smoothed(F.col("n"), F.col("s"), F.col("q"), pick(0), pick(1)) + center).alias("e"))
     priors = [others[f][0] + center if f in others else mean + center for f in range(ENCODING_FOLDS)]
-    return Encoding(column, label, mean + center, table, folds, priors)
+    return Encoding(column, label, mean + center, _stored(table), _stored(folds), priors)
+
+
+def _stored(table: DataFrame) -> DataFrame:
+    """Computed once: a broadcast table when small, else a stored one that joins by shuffle."""
+    small = small_or_same(table)
+    return materialise(table) if small is table else small
 
 
 def encoding_fold(key: str) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +28,33 @@ def build_session(app_name: str = "tabprofile", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def storage_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` where the cluster names one.
+
+    Only where it is unset, as in local tests, a temporary folder is made and removed at exit.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if "path" not in _LOCAL:
+        _LOCAL["path"] = tempfile.mkdtemp(prefix="tabprofile-")
+        atexit.register(shutil.rmtree, _LOCAL["path"], ignore_errors=True)
+    return _LOCAL["path"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read on from there.
+    """Write ``df`` as a table below the shared folder and read on from there.
 
-    Used where several later stages must see the very same partitioning, or where a loop would
-    otherwise grow the plan.  The data lies in shared storage, so it outlives lost executors.
+    Used where several later stages must see the very same rows, or where a loop would otherwise
+    grow the plan.  The table outlives lost executors, and later stages read only the columns they
+    need.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabprofile-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{storage_root(df.sparkSession)}/tabprofile-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1 +1 @@
-
+"""Reading and writing datasets, models and call logs."""

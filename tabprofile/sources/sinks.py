@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabprofile.session import storage_root
+
 
 def write_dataset(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
     """Write a dataset in parts.  Parquet keeps types; CSV is for exchange with other tools."""
@@ -22,6 +23,5 @@ def write_dataset(df: DataFrame, path: str, format: str = "parquet", mode: str =
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (a temporary one if none is set)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root}/tabprofile-{name}-{uuid.uuid4().hex}.parquet"
+    """A fresh folder below the cluster's shared checkpoint folder (see :func:`storage_root`)."""
+    return f"{storage_root(spark)}/tabprofile-{name}-{uuid.uuid4().hex}.parquet"

@@ -1 +1 @@
-
+"""There are no streaming operators of their own: ``FittedModel.score`` takes a streaming frame as it is."""
