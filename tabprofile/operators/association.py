@@ -79,23 +79,26 @@ def pearson(df: DataFrame, names: Sequence[str], exprs: dict[str, Column] | None
     gaps = {n: facts[n, "gaps"] > 0 for n in names}
     x = {n: exprs[n] - F.lit(means[n] or 0.0) for n in names}
 
-    def seen(a: str, b: str, term: Column, key: tuple) -> tuple[tuple, Column]:
+    def over(key: str, a: str, b: str) -> tuple:
         # rows where b is present; no restriction when b never lacks
-        return ((*key, b), F.when(exprs[b].isNotNull(), term)) if gaps[b] and a != b else ((*key, None), term)
+        return key, a, b if gaps[b] and a != b else None
 
     pairs = _pairs_with_diagonal(names)
-    sums: dict[tuple, Column] = {}
-    parts: dict[tuple[str, str], list[tuple]] = {}
-    for a, b in pairs:
-        terms = [
-            seen(a, b, x[a], ("s", a)), seen(b, a, x[b], ("s", b)), seen(a, b, x[a] * x[a], ("q", a)),
-            seen(b, a, x[b] * x[b], ("q", b)), (("p", a, b), x[a] * x[b]), seen(a, b, exprs[a], ("n", a)),
-        ]
-        parts[a, b] = [key for key, _ in terms]
-        sums |= dict(terms)
-    if len(sums) > TERMS_PER_AGGREGATE:
+    parts = {
+        (a, b): [over("s", a, b), over("s", b, a), over("q", a, b), over("q", b, a), ("p", a, b), over("n", a, b)]
+        for a, b in pairs
+    }
+    keys = list(dict.fromkeys(k for terms in parts.values() for k in terms))
+    if len(keys) > TERMS_PER_AGGREGATE:
         return _both_ways(_pearson_by_product(df, names, exprs, means))
-    found = scalars(df, {k: F.count(e) if k[0] == "n" else F.coalesce(F.sum(e), F.lit(0.0)) for k, e in sums.items()}, per_pass=100)
+
+    def total(key: str, a: str, b: str | None) -> Column:
+        value = x[a] * x[b] if key == "p" else x[a] * x[a] if key == "q" else x[a]
+        if key != "p" and b is not None:
+            value = F.when(exprs[b].isNotNull(), value)
+        return F.count(value) if key == "n" else F.coalesce(F.sum(value), F.lit(0.0))
+
+    found = scalars(df, {k: total(*k) for k in keys})
     rows = [(a, b, _coefficient(*[float(found[k]) for k in parts[a, b]])) for a, b in pairs]
     return _both_ways(df.sparkSession.createDataFrame(rows, _EMPTY))
 
