@@ -17,8 +17,10 @@ SKETCH_SIZES = ((100_000_000, 4_096, 0.003), (float("inf"), 32_768, 0.0005))
 SKETCH_GROUPS = 128
 # Rows of the last bracket, which one task resolves value by value.
 BRACKET_LIMIT = 100_000
-# Up to this many values a column's quartiles come from one direct aggregate.
-DIRECT_LIMIT = 50_000
+# Up to this many values a column's quantiles come from a direct aggregate, which keeps every
+# distinct value of the columns of one pass in one task.
+DIRECT_LIMIT = 1_000_000
+DIRECT_COLUMNS = 4
 
 
 def skewness(value: Column) -> Column:
@@ -63,7 +65,8 @@ def exact_quantiles(
     exprs = {name: F.when(F.isnotnull(e) & ~F.isnan(e), e) for name, e in exprs.items()}
     counts = scalars(df, {name: F.count(exprs[name]) for name in names})
     small = [name for name in names if 0 < counts[name] <= direct_limit]
-    direct = scalars(df, {name: F.percentile(exprs[name], list(map(float, probs))) for name in small}) if small else {}
+    direct = scalars(df, {name: F.percentile(exprs[name], list(map(float, probs))) for name in small},
+                     per_pass=DIRECT_COLUMNS if max((counts[n] for n in small), default=0) > 50_000 else 50) if small else {}
 
     ranks = lambda name, p: (name, math.floor(p * (counts[name] - 1)), math.ceil(p * (counts[name] - 1)))
     wanted = {ranks(name, p) for name in names for p in probs if counts[name] > direct_limit}
