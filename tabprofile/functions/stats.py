@@ -65,8 +65,8 @@ def exact_quantiles(
     exprs = {name: F.when(F.isnotnull(e) & ~F.isnan(e), e) for name, e in exprs.items()}
     counts = scalars(df, {name: F.count(exprs[name]) for name in names})
     small = [name for name in names if 0 < counts[name] <= direct_limit]
-    direct = scalars(df, {name: F.percentile(exprs[name], list(map(float, probs))) for name in small},
-                     per_pass=DIRECT_COLUMNS if max((counts[n] for n in small), default=0) > 50_000 else 50) if small else {}
+    together = DIRECT_COLUMNS if any(counts[name] > 50_000 for name in small) else 50
+    direct = scalars(df, {name: F.percentile(exprs[name], list(map(float, probs))) for name in small}, together)
 
     ranks = lambda name, p: (name, math.floor(p * (counts[name] - 1)), math.ceil(p * (counts[name] - 1)))
     wanted = {ranks(name, p) for name in names for p in probs if counts[name] > direct_limit}

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprofile.functions.frames import scalars
 from tabprofile.functions.sampling import hash_sample
 from tabprofile.session import materialise
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import (
-    as_double, col, display_type, distinct_counts, is_nested, is_numeric, is_string, normalise, numeric_columns,
+    as_double, col, display_type, distinct_counts, is_nested, is_string, normalise, numeric_columns,
     per_column, type_of, union_all, value_counts,
 )
 from tabprofile.functions.stats import exact_quantiles

@@ -273,3 +273,16 @@ def test_sampled_attributions_add_up(churn):
     assert explain.dependence_points(found["points"], 2).select("feature").distinct().count() == 2
     example = explain.local_example(model, churn, seed=3).first()
     assert example["test_size"] == churn.test.count() and len(example["contributions"]) == 3
+
+
+def test_a_stream_is_scored_as_it_is(spark, churn, tmp_path):
+    plan = [FeatureStep("encode", ["region"], {"method": "target"})]
+    model = training.fit_model(churn, churn.train, ["tenure", "region"], plan, "LogisticRegression", {})[0]
+    churn.test.select("id", "tenure", "region").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint, tenure double, region string").parquet(str(tmp_path / "in"))
+    query = model.score(stream).select("id", "prediction").writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(60)
+    batch = model.score(churn.test).select("id", "prediction")
+    assert spark.read.parquet(str(tmp_path / "out")).exceptAll(batch).count() == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == churn.test.count()
