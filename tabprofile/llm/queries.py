@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabprofile.llm.common import default_tokenizer
 from tabprofile.llm.mixing import mix
 from tabprofile.llm.packing import pack
+from tabprofile.llm.suffixes import remove_repeats
 from tabprofile.llm.tokens import token_digest
 from tabprofile.llm.topk import quantized, top_k
 
@@ -43,6 +44,11 @@ QUALIFY rank <= 5
 """
 
 
+def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents"), 100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -77,7 +83,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
-    "op1_tokens": op1_tokens, "op3_topk": op3_topk, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
+    "op1_tokens": op1_tokens, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
 }
 _SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
 
