@@ -43,6 +43,31 @@ def spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum(), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+#: Bytes that are usually hashed together, and the base of the polynomial hash.
+HASH_BLOCK = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, and a random value per byte."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    values = np.random.default_rng(4).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.multiply.accumulate(up), np.multiply.accumulate(down), values
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_powers` of at least ``n`` entries, kept for the usual block."""
+    return _powers(max(n, HASH_BLOCK + (1 << 16)))
+
+
 def default_tokenizer() -> str:
     """Where the public byte-level BPE vocabulary lies on this machine."""
     import public_tokenizers

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabprofile.llm.common import default_tokenizer
+from tabprofile.llm.minhash import near_duplicates
 from tabprofile.llm.mixing import mix
 from tabprofile.llm.packing import pack
 from tabprofile.llm.suffixes import remove_repeats
@@ -49,6 +50,10 @@ def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"), 85, 5).drop("hash")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -83,7 +88,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
-    "op1_tokens": op1_tokens, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
+    "op1_tokens": op1_tokens, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
 }
 _SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
 
