@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabprofile.llm.common import default_tokenizer
+from tabprofile.llm.crf import learn, predict_languages
 from tabprofile.llm.minhash import near_duplicates
 from tabprofile.llm.mixing import mix
 from tabprofile.llm.packing import pack
@@ -26,6 +27,13 @@ def op1_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(_table(spark, folder, "documents"), default_tokenizer())
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    predicted = predict_languages(docs, learn(docs, ~held_out & F.col("doc_id").isNotNull()))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(quantized(_table(spark, folder, "embeddings")), F.col("vec_id") % 50 == 0, 5)
 
@@ -88,7 +96,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
-    "op1_tokens": op1_tokens, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
+    "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
 }
 _SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
 
