@@ -12,6 +12,7 @@ from tabprofile.llm.crf import learn, predict_languages
 from tabprofile.llm.minhash import near_duplicates
 from tabprofile.llm.mixing import mix
 from tabprofile.llm.packing import pack
+from tabprofile.llm.quality_rules import apply_rules, learn_rules
 from tabprofile.llm.suffixes import remove_repeats
 from tabprofile.llm.tokens import token_digest
 from tabprofile.llm.topk import quantized, top_k
@@ -58,6 +59,11 @@ def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return apply_rules(docs, learn_rules(docs, _table(spark, folder, "labels")))
+
+
 def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), 85, 5).drop("hash")
 
@@ -96,7 +102,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
-    "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
+    "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op10_packing": op10_packing,
 }
 _SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
 
