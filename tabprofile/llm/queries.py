@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabprofile.llm.common import default_tokenizer
 from tabprofile.llm.crf import learn, predict_languages
 from tabprofile.llm.indexing import learn_quality, score_quality
+from tabprofile.llm.masked_lm import learn_model, score_documents
 from tabprofile.llm.minhash import near_duplicates
 from tabprofile.llm.mixing import mix
 from tabprofile.llm.packing import pack
@@ -56,7 +57,7 @@ QUALIFY rank <= 5
 
 
 def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    return remove_repeats(_table(spark, folder, "documents"), 100).select(
+    return remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"), 100).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -104,13 +105,18 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return score_documents(docs, learn_model(docs))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack(_table(spark, folder, "documents"), default_tokenizer())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 _QUERIES: dict[str, Query] = {
-    "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_packing": op10_packing,
+    "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_masked_lm": op9_masked_lm, "op10_packing": op10_packing,
 }
 _SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
 
