@@ -55,84 +55,87 @@ def importable(estimator: str) -> bool:
 
 
 def default_candidates(task: TaskSpec) -> list[CandidateModel]:
-    """Every family that suits the task and can be imported."""
+    """One candidate with its library's default parameters for every importable family of the task; none for forecasting."""
     if task.task_type == "forecasting":
         return []
-    trees = {"n_estimators": 200, "random_state": 0}
-    if task.is_classification:
-        known = [
-            CandidateModel("Logistic Regression", "LogisticRegression", {"max_iter": 1000}),
-            CandidateModel("Random Forest", "RandomForestClassifier", trees),
-            CandidateModel("Gradient Boosting", "GradientBoostingClassifier", {"random_state": 0}),
-            CandidateModel("XGBoost", "XGBClassifier", trees, "xgboost"),
-            CandidateModel("LightGBM", "LGBMClassifier", trees, "lightgbm"),
-        ]
-    else:
-        known = [
-            CandidateModel("Linear Regression", "LinearRegression"),
-            CandidateModel("Ridge Regression", "Ridge", {"alpha": 1.0}),
-            CandidateModel("Random Forest", "RandomForestRegressor", trees),
-            CandidateModel("Gradient Boosting", "GradientBoostingRegressor", {"random_state": 0}),
-            CandidateModel("XGBoost", "XGBRegressor", trees, "xgboost"),
-            CandidateModel("LightGBM", "LGBMRegressor", trees, "lightgbm"),
-        ]
-    return [c for c in known if importable(c.estimator)]
+    own = CLASSIFIERS if task.is_classification else REGRESSORS
+    other = [name for name in OPTIONAL if name.endswith("Classifier") == task.is_classification]
+    found = [CandidateModel(_title(name), name) for name in own]
+    return found + [CandidateModel(_title(name), name, library=OPTIONAL[name][0].split(".")[0]) for name in other if importable(name)]
+
+
+def _title(estimator: str) -> str:
+    family = estimator.removesuffix("Classifier").removesuffix("Regressor")
+    return "".join(f" {c}" if c.isupper() and i and family[i - 1].islower() else c for i, c in enumerate(family))
 
 
 def fill_candidates(proposed: Sequence[CandidateModel], task: TaskSpec) -> list[CandidateModel]:
-    """The proposed candidates and every applicable family missing among them."""
-    present = {c.estimator for c in proposed}
-    return [*proposed, *[c for c in default_candidates(task) if c.estimator not in present]]
-
-
-def clean_parameters(params: dict[str, Any]) -> dict[str, Any]:
-    """Strip stray blanks and drop names no constructor could accept."""
-    out = {}
-    for name, value in params.items():
-        name = name.strip() if isinstance(name, str) else name
-        if isinstance(name, str) and name.isidentifier():
-            out[name] = value.strip() if isinstance(value, str) else value
-    return out
+    """The proposed candidates, then a default one for each family of the task that they leave out."""
+    names = frozenset(c.estimator for c in proposed)
+    return list(proposed) + [c for c in default_candidates(task) if c.estimator not in names]
 
 
-def repair_parameters(estimator: str, params: dict[str, Any], n_classes: int | None) -> tuple[dict[str, Any], str | None]:
-    """Replace a two-class solver on a target with more classes, and say so."""
-    if estimator == "LogisticRegression" and (n_classes or 0) >= 3 and params.get("solver") == "liblinear":
-        solver = "saga" if params.get("penalty") in ("l1", "elasticnet") else "lbfgs"
-        kept = {k: v for k, v in params.items() if k != "dual"}
-        return {**kept, "solver": solver}, f"solver 'liblinear' cannot handle {n_classes} classes; switched to '{solver}'"
-    return dict(params), None
+#: Parameters that are turned into a penalty rather than set.
+PENALTIES = {"Ridge": {"alpha"}, "LogisticRegression": {"C", "penalty", "l1_ratio"}}
 
 
-def build_estimator(name: str, params: dict[str, Any], rows: int, n_classes: int | None = None) -> Estimator:
-    """A Spark ML estimator over ``features`` and ``label``.  Unknown parameters are ignored."""
-    params = clean_parameters(params)
+def resolve_parameters(estimator: str, params: dict[str, Any]) -> tuple[dict[str, Any], str | None]:
+    """Parameters under Spark's names, and a note on those that the estimator has not or cannot take.
+
+    Names are looked up among the estimator's own parameters, as they are or by their customary name; values pass its type checks.
+    Estimators of other packages check theirs themselves.
+    """
+    if estimator in OPTIONAL:
+        return dict(params), None
+    if estimator not in {**CLASSIFIERS, **REGRESSORS}:
+        raise ValueError(f"unknown estimator '{estimator}'")
+    blank = {**CLASSIFIERS, **REGRESSORS}[estimator]()
+    usable, unusable = {}, []
+    for given, value in params.items():
+        name = PARAMETER_NAMES[estimator].get(given, given)
+        if given in PENALTIES.get(estimator, ()):
+            usable[given] = value
+        elif not isinstance(name, str) or not blank.hasParam(name):
+            unusable.append(str(given))
+        elif value is not None:
+            if name == "featureSubsetStrategy":
+                value = str(value)
+            if name == "maxDepth":
+                value = min(int(value), MAX_SPARK_DEPTH)
+            try:
+                usable[name] = blank.getParam(name).typeConverter(value)
+            except (TypeError, ValueError):
+                unusable.append(str(given))
+    return usable, f"parameters without effect on {estimator}: {', '.join(sorted(unusable))}" if unusable else None
+
+
+def build_estimator(
+    name: str, params: dict[str, Any], rows: int, n_classes: int | None = None, label_deviation: float = 1.0
+) -> Estimator:
+    """A Spark ML estimator over ``features`` and ``label``; see :func:`resolve_parameters` for names.
+
+    ``alpha`` and ``C`` weigh the penalty against the sum of losses over ``rows``, on features as they are.  Spark weighs it against the
+    mean loss, and for least squares of a label divided by its (population) deviation.
+    """
+    params, _ = resolve_parameters(name, params)
     if name in OPTIONAL:
         return _optional(name, params)
-    known = {**CLASSIFIERS, **REGRESSORS}
-    if name not in known:
-        raise ValueError(f"unknown estimator '{name}'")
-    estimator = known[name](featuresCol="features", labelCol="label", predictionCol="prediction")
-    if params.get("max_features") == "auto":
-        params["max_features"] = "sqrt" if name.endswith("Classifier") else None
+    estimator = {**CLASSIFIERS, **REGRESSORS}[name](featuresCol="features", labelCol="label", predictionCol="prediction")
     for given, value in params.items():
-        target = PARAMETER_NAMES[name].get(given, given)
-        if value is None or not estimator.hasParam(target):
-            continue
-        if target == "maxDepth":
-            value = min(int(value), MAX_SPARK_DEPTH)
-        if target == "featureSubsetStrategy":
-            value = str(value)
-        estimator.set(estimator.getParam(target), estimator.getParam(target).typeConverter(value))
+        if given not in PENALTIES.get(name, ()):
+            estimator.set(estimator.getParam(given), value)
     if name == "Ridge":
-        # the penalty is on the sum of squares there and on their mean here
-        estimator.setElasticNetParam(0.0).setRegParam(float(params.get("alpha", 1.0)) / max(rows, 1))
-    if name == "LinearRegression":
+        strength = float(params.get("alpha", 1.0)) / max(rows, 1) * label_deviation
+        estimator.setStandardization(False).setElasticNetParam(0.0).setRegParam(strength)
+    if name == "LinearRegression" and "regParam" not in params:
         estimator.setRegParam(0.0)
     if name == "LogisticRegression":
-        share = {"l1": 1.0, "elasticnet": float(params.get("l1_ratio") or 0.5)}.get(params.get("penalty"), 0.0)
-        strength = 0.0 if params.get("penalty", "l2") in (None, "none") else 1.0 / (float(params.get("C", 1.0)) * max(rows, 1))
-        estimator.setElasticNetParam(share).setRegParam(strength)
+        estimator.setStandardization(False)
+        if "regParam" not in params:
+            kind = params.get("penalty", "l2")
+            share = {"l1": 1.0, "elasticnet": float(params.get("l1_ratio") or 0.5)}.get(kind, 0.0)
+            strength = 0.0 if kind in (None, "none") else 1.0 / (float(params.get("C", 1.0)) * max(rows, 1))
+            estimator.setElasticNetParam(share).setRegParam(strength)
     if name == "GradientBoostingClassifier" and (n_classes or 0) > 2:
         return C.OneVsRest(classifier=estimator, featuresCol="features", labelCol="label", predictionCol="prediction")
     return estimator
@@ -147,24 +150,23 @@ def _optional(name: str, params: dict[str, Any]) -> Estimator:
     return made(**names, **params)
 
 
-# Ranges searched per estimator: (kind, low, high).
-_FOREST_SPACE = {"n_estimators": ("int", 50, 400), "max_depth": ("int", 3, 20), "min_samples_leaf": ("int", 1, 10)}
-_BOOSTED_SPACE = {"n_estimators": ("int", 50, 400), "learning_rate": ("log", 0.01, 0.3), "max_depth": ("int", 2, 8),
-                  "subsample": ("float", 0.6, 1.0)}
+#: Ranges searched, in the parameters of Spark's learners: kind, low, high.  Depths stay where a level still fits a few passes.
+_SEARCHED = {
+    "regParam": ("log", 1e-6, 10.0), "elasticNetParam": ("float", 0.0, 1.0), "alpha": ("log", 1e-2, 1e4),
+    "numTrees": ("int", 20, 160), "maxDepth": ("int", 4, 14), "minInstancesPerNode": ("int", 1, 64),
+    "maxIter": ("int", 20, 120), "stepSize": ("log", 0.03, 0.5), "subsamplingRate": ("float", 0.5, 1.0),
+}
+_SEARCHED_BY = {
+    "LogisticRegression": ("regParam", "elasticNetParam"), "LinearRegression": ("regParam", "elasticNetParam"), "Ridge": ("alpha",),
+    "RandomForest": ("numTrees", "maxDepth", "minInstancesPerNode", "subsamplingRate"),
+    "GradientBoosting": ("maxIter", "stepSize", "maxDepth", "subsamplingRate"),
+}
 SEARCH_SPACES: dict[str, dict[str, tuple]] = {
-    "LogisticRegression": {"C": ("log", 1e-3, 100.0)},
-    "Ridge": {"alpha": ("log", 1e-3, 100.0)},
-    "RandomForestClassifier": _FOREST_SPACE,
-    "RandomForestRegressor": _FOREST_SPACE,
-    "GradientBoostingClassifier": _BOOSTED_SPACE,
-    "GradientBoostingRegressor": _BOOSTED_SPACE,
-    "XGBClassifier": {**_BOOSTED_SPACE, "max_depth": ("int", 2, 10), "colsample_bytree": ("float", 0.6, 1.0)},
-    "XGBRegressor": {**_BOOSTED_SPACE, "max_depth": ("int", 2, 10), "colsample_bytree": ("float", 0.6, 1.0)},
-    "LGBMClassifier": {"n_estimators": ("int", 50, 400), "learning_rate": ("log", 0.01, 0.3), "num_leaves": ("int", 15, 127),
-                       "min_child_samples": ("int", 5, 50), "subsample": ("float", 0.6, 1.0)},
-    "LGBMRegressor": {"n_estimators": ("int", 50, 400), "learning_rate": ("log", 0.01, 0.3), "num_leaves": ("int", 15, 127),
-                      "min_child_samples": ("int", 5, 50), "subsample": ("float", 0.6, 1.0)},
+    name: {p: _SEARCHED[p] for p in searched}
+    for name in (*CLASSIFIERS, *REGRESSORS) for family, searched in _SEARCHED_BY.items() if name.startswith(family)
 }
+# the boosted learners of other packages share two names only
+SEARCH_SPACES |= {name: {"max_depth" if name.startswith("XGB") else "maxDepth": ("int", 3, 9), "learning_rate" if name.startswith("XGB") else "learningRate": ("log", 0.03, 0.5)} for name in OPTIONAL}
 
 
 def suggest(estimator: str, trial: int, seed: int = 0) -> dict[str, Any]:

@@ -17,7 +17,7 @@ from tabprofile.functions.frames import as_double, col, is_nested, is_numeric, n
 from tabprofile.functions.sampling import unit_hash
 from tabprofile.functions.stats import exact_quantiles
 from tabprofile.operators.steps import modes
-from tabprofile.plans.spec import FeatureStep
+from tabprofile.plans.spec import FeatureStep, settings
 from tabprofile.session import materialise
 
 ENCODING_FOLDS = 5
@@ -223,19 +223,8 @@ def fit_preprocessor(
     numeric = [c for c in features if is_numeric(type_of(train, c))]
     texts = [c for c in features if c not in numeric and not is_nested(type_of(train, c))
              and type_of(train, c).typeName() in ("string", "char", "varchar")]
-    strategies: dict[str, str] = {}
-    scalings: dict[str, str] = {}
-    encoded: list[str] = []
-    for step in steps:
-        for c in step.columns:
-            if c not in features:
-                continue
-            if step.op == "impute" and c in numeric:
-                strategies[c] = step.params.get("strategy", "mean")
-            elif step.op == "scale" and c in numeric:
-                scalings[c] = step.params.get("method", "standard")
-            elif step.op == "encode" and step.params.get("method") == "target" and c not in encoded:
-                encoded.append(c)
+    strategies, scalings = settings(steps, "impute", numeric), settings(steps, "scale", numeric)
+    encoded = [c for c, method in settings(steps, "encode", features).items() if method == "target"]
     plain = [c for c in numeric if c not in encoded]
     if not plain and not encoded:
         encoded = texts  # nothing numeric: encode the categories rather than train on nothing

@@ -70,6 +70,16 @@ class FeatureStep:
         return self.op == "scale" or (self.op == "encode" and self.params.get("method") == "target")
 
 
+#: The parameter that tells how a step of each kind is fitted, and its default.
+_FITTED_BY = {"impute": ("strategy", "mean"), "scale": ("method", "standard"), "encode": ("method", None)}
+
+
+def settings(steps: Sequence[FeatureStep], op: str, columns: Sequence[str]) -> dict[str, Any]:
+    """How each of ``columns`` that a step of kind ``op`` names is to be fitted; a later step overrides an earlier one."""
+    name, default = _FITTED_BY[op]
+    return {c: step.params.get(name, default) for step in steps if step.op == op for c in step.columns if c in columns}
+
+
 @dataclass(frozen=True)
 class CandidateModel:
     name: str

@@ -3,12 +3,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabprofile.operators import metrics, resample, split, steps
 from tabprofile.plans import eda, explain, models, training
 from tabprofile.plans.preprocess import fit_preprocessor
 from tabprofile.plans.spec import CandidateModel, FeatureStep, TaskSpec, approve, complete_plan
+from tabprofile.sources.loading import load_dataset
 
 
 def frame(spark, **data):
@@ -186,14 +188,20 @@ def test_metrics_of_known_predictions(spark):
 
 
 def test_estimator_factory():
-    forest = models.build_estimator("RandomForestClassifier", {" n_estimators ": 7, "bad name": 1, "unheard_of": 2, "max_features": "auto"}, 100)
-    assert forest.getNumTrees() == 7 and forest.getFeatureSubsetStrategy() == "sqrt"
-    assert models.build_estimator("Ridge", {"alpha": 5.0}, 50).getRegParam() == pytest.approx(0.1)
+    given = {"n_estimators": 7, "bad name": 1, "unheard_of": 2, "max_features": "sqrt", "maxDepth": 99, "min_samples_leaf": "x"}
+    forest = models.build_estimator("RandomForestClassifier", given, 100)
+    assert forest.getNumTrees() == 7 and forest.getFeatureSubsetStrategy() == "sqrt" and forest.getMaxDepth() == 30
+    _, note = models.resolve_parameters("RandomForestClassifier", given)
+    assert note.endswith("bad name, min_samples_leaf, unheard_of")
+    assert models.resolve_parameters("Ridge", {"alpha": 2.0, "fit_intercept": False}) == ({"alpha": 2.0, "fitIntercept": False}, None)
+    assert models.build_estimator("Ridge", {"alpha": 5.0}, 50, label_deviation=2.0).getRegParam() == pytest.approx(0.2)
     assert type(models.build_estimator("GradientBoostingClassifier", {}, 10, 3)).__name__ == "OneVsRest"
     with pytest.raises(ValueError):
         models.build_estimator("Nothing", {}, 1)
-    fixed, note = models.repair_parameters("LogisticRegression", {"solver": "liblinear", "dual": True, "penalty": "l1"}, 3)
-    assert fixed == {"solver": "saga", "penalty": "l1"} and note
+    for name, space in models.SEARCH_SPACES.items():
+        if name not in models.OPTIONAL:
+            found, note = models.resolve_parameters(name, models.suggest(name, 1))
+            assert len(found) == len(space) > 0 and note is None
     names = [c.estimator for c in models.fill_candidates([CandidateModel("x", "Ridge")], TaskSpec("regression", "y"))]
     assert names[0] == "Ridge" and names.count("Ridge") == 1 and "RandomForestRegressor" in names
     assert models.suggest("Ridge", 3) == models.suggest("Ridge", 3)
@@ -286,3 +294,63 @@ def test_a_stream_is_scored_as_it_is(spark, churn, tmp_path):
     batch = model.score(churn.test).select("id", "prediction")
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(batch).count() == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == churn.test.count()
+
+
+# ---- penalties ------------------------------------------------------------------------------
+
+def two_features(spark, rows=200):
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.normal(0, 10, rows), rng.normal(0, 0.3, rows)], axis=1)
+    return x, rng
+
+
+def fitted(spark, name, params, x, y):
+    rows = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"])
+    return models.build_estimator(name, params, len(y), label_deviation=float(np.std(y))).fit(rows)
+
+
+def test_ridge_equals_closed_form(spark):
+    x, rng = two_features(spark)
+    y = 3 * x[:, 0] - 40 * x[:, 1] + rng.normal(0, 5, len(x)) + 7
+    centred = x - x.mean(0)
+    want = np.linalg.solve(centred.T @ centred + 100 * np.eye(2), centred.T @ (y - y.mean()))
+    assert np.allclose(fitted(spark, "Ridge", {"alpha": 100.0}, x, y).coefficients.toArray(), want, rtol=1e-3)
+
+
+@pytest.mark.parametrize("c", [0.05, 1.0])
+def test_logistic_equals_newton(spark, c):
+    x, rng = two_features(spark)
+    y = (rng.uniform(size=len(x)) < 1 / (1 + np.exp(-(0.2 * x[:, 0] - 2 * x[:, 1])))).astype(float)
+    z, w = np.column_stack([x, np.ones(len(x))]), np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        penalty = np.diag([1.0, 1.0, 0.0])
+        w -= np.linalg.solve(c * (z * (p * (1 - p))[:, None]).T @ z + penalty, c * z.T @ (p - y) + penalty @ w)
+    got = fitted(spark, "LogisticRegression", {"C": c, "max_iter": 500, "tol": 1e-10}, x, y)
+    assert np.allclose(got.coefficients.toArray(), w[:2], atol=1e-3)
+
+
+# ---- loading --------------------------------------------------------------------------------
+
+def test_json_by_line_array_and_one_object(spark, tmp_path):
+    for name, text in (("l", '\n{"a": 1}\n{"a": 2}\n{"a": 3}\n'), ("r", '[{"a": 1},\n {"a": 2},\n {"a": 3}]'), ("o", '{\n"a": 1\n}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert [load_dataset(spark, str(tmp_path / f"{n}.json")).count() for n in "lro"] == [3, 3, 1]
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('t,n\n"He said ""hi"", then left",1\n"two\nlines",2\n')
+    assert [tuple(r) for r in load_dataset(spark, str(tmp_path / "q.csv")).orderBy("n").collect()] == [('He said "hi", then left', 1), ("two\nlines", 2)]
+
+
+def test_csv_windows_text(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes("naïve €,n\n“quoted” €5 –,1\n".encode("windows-1252"))
+    df = load_dataset(spark, str(tmp_path / "w.csv"))
+    assert df.columns == ["naïve €", "n"] and df.first()[0] == "“quoted” €5 –"
+
+
+def test_content_key_does_not_depend_on_layout(spark):
+    rows = [(i % 40, None if i % 7 == 0 else float(i % 9), "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b double, c string")
+    first, second = (sorted(tuple(r) for r in training.content_key(d, "k").select("k", "a").collect()) for d in (df.repartition(3), df.orderBy("b").repartition(7)))
+    assert first == second and len({k for k, _ in first}) == 300
