@@ -2,12 +2,14 @@
 
 from functools import lru_cache
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabprofile.catalog.registry import query, read, rounded, unit_sql
 from tabprofile.operators import metrics as M
 from tabprofile.operators import resample as B
 from tabprofile.operators import split as S
+from tabprofile.plans.models import build_estimator
 from tabprofile.plans import explain as X
 from tabprofile.plans import training as T
 from tabprofile.plans.spec import CandidateModel, FeatureStep, TaskSpec
@@ -81,17 +83,29 @@ def resample_under(spark, d):
 
 
 @query("resample_smote", """
-WITH v AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), c AS (SELECT label, count(*) AS n FROM v GROUP BY label)
+WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
 SELECT label, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS synthetic, TRUE AS within FROM c""")
 def resample_smote(spark, d):
-    df = read(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("abc")])
-    out = B.smote(df, "label", "vec_id", ["a", "b", "c"])
-    ranges = df.groupBy("label").agg(*[f(c).alias(f"{k}_{c}") for c in "abc" for k, f in (("lo", F.min), ("hi", F.max))])
-    inside = F.lit(True)
-    for c in "abc":
-        inside = inside & (F.col(c) >= F.col(f"lo_{c}") - 1e-12) & (F.col(c) <= F.col(f"hi_{c}") + 1e-12)
+    df = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    out = B.smote(df, "label", "vec_id", "x")
+    width = range(64)
+    ranges = df.groupBy("label").agg(F.array(*[F.min(F.col("x")[i]) for i in width]).alias("lo"), F.array(*[F.max(F.col("x")[i]) for i in width]).alias("hi"))
+    inside = F.forall(F.arrays_zip("x", "lo", "hi"), lambda e: (e["x"] >= e["lo"] - 1e-12) & (e["x"] <= e["hi"] + 1e-12))
     return out.join(ranges, "label").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_synthetic").alias("synthetic"), F.bool_and(inside).alias("within"))
+        F.count(F.lit(1)).alias("n"), F.count_if("is_synthetic").alias("synthetic"), F.bool_and(inside & (F.size("x") == 64)).alias("within"))
+
+
+@query("ridge_coefficients", """
+WITH s AS (SELECT count(*) AS n, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab,
+  covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS b_y FROM lineitem),
+p AS (SELECT aa + 100.0 / n AS aa, bb + 100.0 / n AS bb, ab, ay, b_y FROM s)
+SELECT round((ay * bb - b_y * ab) / (aa * bb - ab * ab), 3) AS quantity, round((b_y * aa - ay * ab) / (aa * bb - ab * ab), 3) AS discount FROM p""")
+def ridge_coefficients(spark, d):
+    df = read(spark, d, "lineitem").select(
+        array_to_vector(F.array("l_quantity", "l_discount")).alias("features"), F.col("l_extendedprice").alias("label"))
+    n, deviation = df.agg(F.count("label"), F.stddev_pop("label")).first()
+    found = build_estimator("Ridge", {"alpha": 100.0}, n, label_deviation=deviation).fit(df).coefficients
+    return spark.createDataFrame([(round(float(found[0]), 3), round(float(found[1]), 3))], "quantity double, discount double")
 
 
 # Predictions made by simple rules, so that the metrics have something to measure.

@@ -351,18 +351,25 @@ def drift_summary(spark, d):
                       rounded("mean_shift").alias("mean_shift"))
 
 
+_ISSUE_COLUMNS = ["o_orderkey", "o_totalprice", "doubled", "fixed", "flag", "gaps", "mixed", "code"]
+_ISSUE_TEXTS = ["fixed", "flag", "mixed", "code"]
+_ISSUE_NUMBERS = ["o_orderkey", "o_totalprice", "doubled", "gaps"]
+_ISSUE_PARTS = [
+    per_column_sql(_ISSUE_COLUMNS, """SELECT '{c}' AS "column", 'constant' AS issue, count(DISTINCT {c})::DOUBLE AS value FROM o HAVING count(DISTINCT {c}) <= 1"""),
+    per_column_sql(_ISSUE_COLUMNS, """SELECT '{c}', 'near_constant', max(n) / sum(n)::DOUBLE FROM (SELECT count({c}) AS n FROM o WHERE {c} IS NOT NULL GROUP BY {c}) HAVING max(n) / sum(n) >= 0.95 AND count(*) > 1"""),
+    per_column_sql(_ISSUE_TEXTS, """SELECT '{c}', 'high_cardinality', count(DISTINCT {c}) / count(*)::DOUBLE FROM o HAVING count(DISTINCT {c}) / count(*) > 0.5"""),
+    per_column_sql(_ISSUE_COLUMNS, """SELECT '{c}', 'sparse', avg(({c} IS NULL)::INT) FROM o HAVING avg(({c} IS NULL)::INT) > 0.5"""),
+    per_column_sql(_ISSUE_TEXTS, """SELECT '{c}', 'mixed_types', avg((try_cast({c} AS DOUBLE) IS NOT NULL)::INT) FILTER ({c} IS NOT NULL) AS v FROM o HAVING v > 0.05 AND v < 0.95"""),
+    *[f"SELECT '{b}', 'correlated_with_{a}', corr({a}, {b}) AS v FROM o HAVING abs(v) >= 0.95"
+      for i, a in enumerate(_ISSUE_NUMBERS) for b in _ISSUE_NUMBERS[i + 1:]],
+]
+
+
 @query("quality_issues", """
 WITH o AS (SELECT o_orderkey, o_totalprice, o_totalprice * 2 AS doubled, 'x' AS fixed,
   CASE WHEN o_totalprice > 1100 THEN 'usual' ELSE 'rare' END AS flag, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS gaps,
   CASE WHEN o_orderstatus = 'F' THEN 'n/a' ELSE o_custkey::VARCHAR END AS mixed, o_orderkey::VARCHAR AS code FROM orders)
-SELECT 'fixed' AS "column", 'constant' AS issue, 1.0::DOUBLE AS value FROM (SELECT count(DISTINCT fixed) AS n FROM o) WHERE n <= 1
-UNION ALL SELECT 'flag', 'near_constant', round(max(n) / sum(n), 6) FROM (SELECT count(*) AS n FROM o GROUP BY flag) HAVING max(n) / sum(n) >= 0.95 AND count(*) > 1
-UNION ALL SELECT 'code', 'high_cardinality', round(count(DISTINCT code) / count(*)::DOUBLE, 6) FROM o
-UNION ALL SELECT 'gaps', 'sparse', round(avg((gaps IS NULL)::INT), 6) FROM o HAVING avg((gaps IS NULL)::INT) > 0.5
-UNION ALL SELECT 'mixed', 'mixed_types', round(avg((try_cast(mixed AS DOUBLE) IS NOT NULL)::INT), 6) FROM o
-UNION ALL SELECT 'doubled', 'correlated_with_o_totalprice', round(corr(doubled, o_totalprice), 6) FROM o
-UNION ALL SELECT 'gaps', 'correlated_with_o_totalprice', round(corr(gaps, o_totalprice), 6) FROM o
-UNION ALL SELECT 'gaps', 'correlated_with_doubled', round(corr(gaps, doubled), 6) FROM o""")
+SELECT "column", issue, round(value, 6) AS value FROM (""" + "\nUNION ALL ".join(_ISSUE_PARTS) + ")")
 def quality_issues(spark, d):
     f = F.col("o_orderstatus") == "F"
     df = read(spark, d, "orders").select(

@@ -60,6 +60,45 @@ def scan_csv_delimiter(spark, d):
     return _csv_totals(loading.load_dataset(spark, path, format="csv"))
 
 
+# Texts as JSON lines, as quoted CSV fields with quotes and line breaks, and in Windows text.
+_TEXTS_SQL = """SELECT p_brand, count(*) AS n, sum(p_partkey)::BIGINT AS keys, max({label}) AS label, sum(length({label}))::BIGINT AS chars
+FROM part GROUP BY ALL"""
+_QUOTED = {"sql": """'He said "' || p_name || '", then' || chr(10) || 'left, ' || p_type""",
+           "spark": ("He said \"", "\", then\nleft, ")}
+
+
+def _texts(spark, d, before, between):
+    return read(spark, d, "part").select("p_partkey", "p_brand", F.concat(F.lit(before), "p_name", F.lit(between), "p_type").alias("label"))
+
+
+def _text_totals(df):
+    return df.groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p_partkey").cast("bigint").alias("keys"), F.max("label").alias("label"),
+        F.sum(F.length("label")).cast("bigint").alias("chars"))
+
+
+@query("scan_json_lines", _TEXTS_SQL.format(label=_QUOTED["sql"]))
+def scan_json_lines(spark, d):
+    path = sinks.scratch_path(spark, "scan_json_lines")
+    _texts(spark, d, *_QUOTED["spark"]).write.json(path)
+    return _text_totals(loading.load_dataset(spark, path, format="json"))
+
+
+@query("scan_csv_quoted", _TEXTS_SQL.format(label=_QUOTED["sql"]))
+def scan_csv_quoted(spark, d):
+    path = sinks.scratch_path(spark, "scan_csv_quoted")
+    _texts(spark, d, *_QUOTED["spark"]).write.csv(path, header=True, escape='"', quoteAll=True)
+    return _text_totals(loading.load_dataset(spark, path, format="csv"))
+
+
+@query("scan_csv_cp1252", _TEXTS_SQL.format(label="'“' || p_name || '” €5 – ' || p_type"))
+def scan_csv_cp1252(spark, d):
+    path = sinks.scratch_path(spark, "scan_csv_cp1252")
+    # Spark writes no Windows text by default; these control characters are its bytes in ISO-8859-1
+    _texts(spark, d, "\x93", "\x94 \x805 \x96 ").write.csv(path, header=True, encoding="ISO-8859-1")
+    return _text_totals(loading.load_dataset(spark, path, format="csv"))
+
+
 @query("training_frame_clean", f"""
 SELECT o_orderkey::DOUBLE AS o_orderkey, o_custkey::DOUBLE AS o_custkey,
   CASE WHEN isinf(ratio) THEN NULL ELSE round(ratio, 6) END AS ratio, urgent::DOUBLE AS urgent,
@@ -176,10 +215,19 @@ def pii_date_exception(spark, d):
                         rounded("date_rate").alias("date_rate"), "pii_type")
 
 
-@query("pii_columns", """
-SELECT * FROM (VALUES ('mail_text', 'email', 'pattern'), ('call_text', 'phone_number', 'pattern'),
- ('tax_text', 'phone_number', 'pattern'), ('pay_text', 'phone_number', 'pattern'), ('host_text', 'ip_address', 'pattern'),
- ('full_name', 'name', 'name')) t("column", pii_type, detection_method)""")
+# The patterns as the detector states them, in the order in which they decide.
+_PII_PATTERNS = list(pii.TEXT_PATTERNS.items())
+_PII_TEXTS = [c for c in CONTACT_TEXTS if c != "full_name"]
+_PII_RATES = per_column_sql(_PII_TEXTS, "SELECT '{c}' AS \"column\", {c} AS v FROM contacts")
+
+
+@query("pii_columns", f"""
+WITH contacts AS {CONTACTS}, v AS ({_PII_RATES}),
+r AS (SELECT "column", avg((try_cast(v AS TIMESTAMP) IS NOT NULL)::INT) AS dates, """ + ", ".join(
+    f"avg(regexp_matches(v, '{p}')::INT) AS {k}" for k, p in _PII_PATTERNS) + """ FROM v WHERE v IS NOT NULL GROUP BY ALL)
+SELECT 'full_name' AS "column", 'name' AS pii_type, 'name' AS detection_method
+UNION ALL SELECT "column", CASE """ + " ".join(
+    f"WHEN {k} > 0.8{' AND NOT dates > 0.8' if k == 'phone_number' else ''} THEN '{k}'" for k, _ in _PII_PATTERNS) + """ END AS pii_type, 'pattern' FROM r WHERE pii_type IS NOT NULL""")
 def pii_columns(spark, d):
     df = contacts(spark, d)
     return pii.pii_report(df, pii.detect_pii(df))
