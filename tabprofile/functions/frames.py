@@ -148,6 +148,11 @@ def scalars(df: DataFrame, exprs: dict[str, Column], per_pass: int = AGGREGATES_
     return out
 
 
+def fetched(df: DataFrame) -> DataFrame:
+    """The rows as a local table, for frames with one row per column: whoever reads it again does not compute it again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def small_or_same(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The frame's rows as a broadcast table if there are few, else the frame unchanged.
 

@@ -53,6 +53,7 @@ def exact_quantiles(
     direct_limit: int = DIRECT_LIMIT,
     bracket_limit: int = BRACKET_LIMIT,
     exprs: dict[str, Column] | None = None,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of each column, without sorting or shuffling the data.
 
@@ -63,7 +64,7 @@ def exact_quantiles(
     """
     exprs = exprs or {name: as_double(df, name) for name in names}
     exprs = {name: F.when(F.isnotnull(e) & ~F.isnan(e), e) for name, e in exprs.items()}
-    counts = scalars(df, {name: F.count(exprs[name]) for name in names})
+    counts = counts or scalars(df, {name: F.count(exprs[name]) for name in names})  # known to some callers
     small = [name for name in names if 0 < counts[name] <= direct_limit]
     together = DIRECT_COLUMNS if any(counts[name] > 50_000 for name in small) else 50
     direct = scalars(df, {name: F.percentile(exprs[name], list(map(float, probs))) for name in small}, together)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import (
-    as_double, col, display_type, distinct_counts, is_nested, is_string, normalise, numeric_columns,
+    as_double, col, display_type, distinct_counts, fetched, is_nested, is_string, normalise, numeric_columns,
     per_column, type_of, union_all, value_counts,
 )
 from tabprofile.functions.stats import exact_quantiles
@@ -54,14 +54,22 @@ def memory_bytes(df: DataFrame) -> DataFrame:
 
 def column_basics(df: DataFrame) -> DataFrame:
     """``column, position, dtype, row_count, null_count, null_rate`` in one pass without a shuffle."""
+    df = normalise(df)
+    return per_column(df, df.columns, _basics(df))
+
+
+def _basics(df: DataFrame) -> dict:
     rows = F.count(F.lit(1))
     nulls = lambda c: F.count_if(col(c).isNull())
-    return per_column(normalise(df), df.columns, {
+    return {
         "dtype": lambda c: display_type(type_of(df, c), nulls(c) > 0),
         "row_count": lambda c: rows,
         "null_count": nulls,
         "null_rate": lambda c: F.coalesce(F.try_divide(nulls(c), rows), F.lit(0.0)),
-    })
+    }
+
+
+_MOMENTS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -71,22 +79,17 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, approxi
     """
     df = normalise(df)
     names = list(columns if columns is not None else numeric_columns(df))
-    value = lambda c: as_double(df, c)
-    moments = per_column(df, names, {
-        "mean": lambda c: F.avg(value(c)),
-        "std": lambda c: F.stddev_samp(value(c)),
-        "min": lambda c: F.min(value(c)),
-        "max": lambda c: F.max(value(c)),
-    })
+    moments = per_column(df, names, {k: (lambda c, f=f: f(as_double(df, c))) for k, f in _MOMENTS.items()})
+    return moments.join(F.broadcast(_quartiles(df, names, approximate)), "column")
+
+
+def _quartiles(df: DataFrame, names: Sequence[str], approximate: bool, counts: dict[str, int] | None = None) -> DataFrame:
     if approximate:
-        quartiles = per_column(df, names, {
-            "q": lambda c: F.percentile_approx(value(c), [0.25, 0.5, 0.75], 10_000)
+        return per_column(df, names, {
+            "q": lambda c: F.percentile_approx(as_double(df, c), [0.25, 0.5, 0.75], 10_000)
         }).select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
-    else:
-        found = exact_quantiles(df, names, [0.25, 0.5, 0.75])
-        quartiles = df.sparkSession.createDataFrame(
-            [(name, *found[name]) for name in names], "column string, p25 double, p50 double, p75 double")
-    return moments.join(F.broadcast(quartiles), "column")
+    found = exact_quantiles(df, names, [0.25, 0.5, 0.75], counts=counts)
+    return df.sparkSession.createDataFrame([(name, *found[name]) for name in names], "column string, p25 double, p50 double, p75 double")
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = TOP_VALUES) -> DataFrame:
@@ -95,17 +98,21 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = TOP_VALUES) -> Da
     The rank filter is applied within each map task before rows move, so a column with as many
     values as rows sends only its best k per task.
     """
+    return _top_of(value_counts(df, columns), k)
+
+
+def _top_of(counts: Sequence[DataFrame], k: int = TOP_VALUES) -> DataFrame:
     place = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     ranked = [
         f.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
         .select("column", "rank", F.col("value").cast("string").alias("value"), F.col("n").alias("count"))
-        for f in value_counts(df, columns)
+        for f in counts
     ]
     return union_all(ranked)
 
 
-def _top_arrays(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    lists = top_values(df, columns).groupBy("column").agg(
+def _top_arrays(counts: Sequence[DataFrame]) -> DataFrame:
+    lists = _top_of(counts).groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
     return lists.select("column", F.transform("t", lambda e: F.struct(e["value"], e["count"])).cast(_TOP).alias("top_values"))
 
@@ -129,37 +136,47 @@ def column_profile(
     numeric = [c for c in numeric_columns(df) if c not in pii]
     flat = [c for c in df.columns if c not in numeric and c not in pii and not is_nested(type_of(df, c))]
 
-    profile = column_basics(df)
+    summarised = numeric if numeric and not wide else []
+    # types, gaps and moments come from one pass
+    stats = {**_basics(df), **{k: (lambda c, f=f: f(as_double(df, c)) if c in summarised else F.lit(None).cast("double")) for k, f in _MOMENTS.items()}}
+    profile = fetched(per_column(df, df.columns, stats))
     counted = [c for c in df.columns if c not in pii]  # a redacted column shows one value
-    uniques = (
-        distinct_counts(df, counted, exact=exact_distinct) if counted
-        else spark.createDataFrame([], "column string, n_unique bigint, is_approx boolean")
-    )
-    masked = spark.createDataFrame([(c, pii[c].pii_type) for c in pii], "column string, pii_type string")
-    profile = profile.join(uniques, "column", "left").join(F.broadcast(masked), "column", "left")
-
-    empty_summary, empty_top = F.lit(None).cast(_SUMMARY), F.lit(None).cast(_TOP)
-    if numeric and not wide:
-        parts = numeric_summary(df, numeric, approximate_quartiles)
-        fields = ("mean", "std", "min", "p25", "p50", "p75", "max")
-        summaries = parts.select("column", F.struct(*fields).cast(_SUMMARY).alias("numeric"))
-        profile = profile.join(F.broadcast(summaries), "column", "left")
-    else:
-        profile = profile.withColumn("numeric", empty_summary)
     listed = [*flat, *(numeric if wide else [])]
-    profile = profile.join(_top_arrays(df, listed), "column", "left") if listed else profile.withColumn("top_values", empty_top)
+    uniques = spark.createDataFrame([], "column string, n_unique bigint, is_approx boolean")
+    tops = spark.createDataFrame([], f"column string, top_values {_TOP}")
+    if counted and exact_distinct:
+        # distinct counts and top values read the same counts per value
+        counts = value_counts(df, counted)
+        uniques = union_all([f.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")) for f in counts]).withColumn("is_approx", F.lit(False))
+        found = fetched(uniques.join(_top_arrays(counts), "column", "left"))
+        uniques, tops = found.select("column", "n_unique", "is_approx"), found.where(F.col("column").isin(listed)).select("column", "top_values")
+    elif counted:
+        uniques = distinct_counts(df, counted, exact=False)
+        if listed:
+            tops = _top_arrays(value_counts(df, listed))
+    masked = spark.createDataFrame([(c, pii[c].pii_type) for c in pii], "column string, pii_type string")
+    profile = profile.join(uniques, "column", "left").join(F.broadcast(masked), "column", "left").join(tops, "column", "left")
+
+    summary = F.lit(None).cast(_SUMMARY)
+    if summarised:
+        rows = {r["column"]: r for r in profile.select("column", "row_count", "null_count").collect()}
+        quartiles = _quartiles(df, summarised, approximate_quartiles, {c: rows[c]["row_count"] - rows[c]["null_count"] for c in summarised})
+        profile = profile.join(F.broadcast(quartiles), "column", "left")
+        fields = F.struct("mean", "std", "min", "p25", "p50", "p75", "max").cast(_SUMMARY)
+        summary = F.when(F.col("column").isin(summarised), fields)
+    profile = profile.withColumn("numeric", summary)
 
     is_masked = F.col("pii_type").isNotNull()
     few = F.col("column").isin(flat) | (F.coalesce("n_unique", F.lit(0)) <= TOP_VALUES)
     redacted_top = F.array(F.struct(F.lit(REDACTED).alias("value"), F.col("row_count").alias("count"))).cast(_TOP)
-    return profile.select(
+    return fetched(profile.select(
         "column", "position", "dtype", "row_count", "null_rate",
         F.when(is_masked, F.least("row_count", F.lit(1))).otherwise(F.coalesce("n_unique", F.lit(0)))
         .cast("bigint").alias("n_unique"),
         F.coalesce("is_approx", F.lit(False)).alias("is_approx"),
         is_masked.alias("is_pii"), "pii_type", "numeric",
         F.when(is_masked, redacted_top).when(few, F.col("top_values")).alias("top_values"),
-    )
+    ))
 
 
 def strong_pairs(df: DataFrame, pii: dict[str, PiiColumn] | None = None) -> DataFrame:
