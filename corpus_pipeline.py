@@ -1,10 +1,67 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again for the next."""
+"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again for the next.
+
+Language identification drops documents without a language, near-duplicates leave one document of each group, repeated passages are cut
+out of the others, sources are mixed to their weights, and the result is packed into sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabprofile.llm.common import default_tokenizer
+from tabprofile.llm.crf import learn, predict_languages
+from tabprofile.llm.minhash import keep_one
+from tabprofile.llm.mixing import mix
+from tabprofile.llm.packing import pack
+from tabprofile.llm.suffixes import remove_repeats
+from tabprofile.session import materialise
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Mean word probability from which a document counts as written in its language.
+LEAST_SCORE = 0.35
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters and those of which no language explains the words."""
+    model = learn(docs, F.col("doc_id").isNotNull())
+    found = predict_languages(docs, model, COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group linked by four fifths of common shingles of five words."""
+    return keep_one(docs.select(*COLUMNS), percent=80, words=5)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut strings of 100 bytes that stand earlier in the corpus out of every text; ``n_chars`` follows the text."""
+    cut = remove_repeats(docs.select(*COLUMNS), 100, as_text=True)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the target weights of the sources ask for."""
+    taken = mix(docs, keep=COLUMNS).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all texts in sequences of at most 1024."""
+    return pack(docs, default_tokenizer())
+
+
+STAGES = [
+    ("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("packing", packing),
+]
+
+#: The stages learn models, follow links and pack, which SQL cannot state; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stage yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents`` of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return docs

@@ -8,15 +8,16 @@ languages is labelled word by word; a document takes the language with the large
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabprofile.llm.common import HASH_BLOCK, documents, pieces, spread
+from tabprofile.llm.common import HASH_BLOCK, pieces, spread
 
 #: Documents per language, and languages (the most frequent ones), that the model is learned from.
 TRAIN_DOCS, LANGUAGES = 500, 64
@@ -227,26 +228,34 @@ def learn(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Ch
     """Learn from ``text`` and ``lang`` of usable rows: ``per_language`` rows of each of the ``LANGUAGES`` most frequent languages, by hash."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("_order"))
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    # a share of each language, by hash, that holds twice the wanted number, so that few rows are ranked
+    fits = F.lit(False)
+    for r in found:
+        fits = fits | (F.col("lang") == F.lit(r["lang"])) & (F.pmod("_order", F.lit(1 << 20)) < F.lit(int((2 * per_language + 20) / r["n"] * (1 << 20)) + 1))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text"))
-    picked = rows.where(F.col("lang").isin(names)).withColumn("_nth", nth).where(F.col("_nth") <= per_language)
+    picked = rows.where(fits).withColumn("_nth", nth).where(F.col("_nth") <= per_language)
     return train(sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").collect()))
 
 
-def predict_languages(docs: DataFrame, model: Chain) -> DataFrame:
-    """``doc_id, text, lang_pred, score`` for every row: the predicted language and its mean word probability.
+def predict_languages(docs: DataFrame, model: Chain, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of every row with ``lang_pred`` and ``score``: the predicted language and its mean word probability.
 
     ``und`` with score 0 where the text is null or empty or has no letter, or nothing was learned.  Every row is predicted by itself, so
-    repeated rows and null ids need no rule; only ``text`` is looked at; an empty table gives no rows.
+    repeated rows and null ids need no rule; only ``text`` is looked at, and columns not carried may have any name; an empty table gives
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"_{i}" for i in range(len(carry))]
+    given = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         for batch in pieces(batches, HASH_BLOCK):
             found = chain.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
-            ], ["doc_id", "text", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*names, "lang_pred", "score"])
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, text string, lang_pred string, score double")
+    kinds = T.StructType([*(given.schema[n] for n in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(run, kinds).select(*[F.col(n).alias(c) for n, c in zip(names, carry)], "lang_pred", "score")

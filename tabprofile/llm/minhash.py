@@ -244,3 +244,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, region:
     return found.select(
         F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "hash", F.col("n").alias("n_shingles"),
         F.nullif(component, F.lit(_NO_ID)).alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate group: that with the smallest ``doc_id``, of its rows that with the smallest hash.
+
+    Texts without words are in no group and all stay; of rows equal in ``doc_id`` and text, one stays.
+    """
+    found = near_duplicates(docs, percent, words).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), "hash", "n_shingles", "component_id")
+    single = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.lit(_NO_ID)))
+    chosen = found.where("n_shingles > 0").groupBy(single.alias("_id")).agg(F.min("hash").alias("_hash")).unionAll(
+        found.where("n_shingles = 0").select("_id", F.col("hash").alias("_hash")).distinct())
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    return keyed.join(chosen, ["_id", "_hash"]).withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
