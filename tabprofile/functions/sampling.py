@@ -15,7 +15,7 @@ from tabprofile.functions.frames import col, require_columns, small_or_same
 from tabprofile.functions.stats import order_statistics
 from tabprofile.session import materialise, shuffle_partitions
 
-HASH_BUCKETS = 65_536
+HASH_BUCKETS = 1 << 20
 _HASH_RANGE = float(16**13)
 
 

@@ -101,6 +101,9 @@ def order_statistics(
 
 def _order_statistics(df, exprs, counts, targets, bracket_limit):
     """(column, rank, same or next rank) -> the two values."""
+    for name, low, high in targets:
+        if not 0 <= low <= high < counts[name]:
+            raise ValueError(f"ranks {low} and {high} lie outside the {counts[name]} values of '{name}'")
     columns = {name: f"x{i}" for i, name in enumerate(exprs)}
     data = df.select(*[expr.alias(columns[name]) for name, expr in exprs.items()])
     found: dict[tuple[str, int, int], tuple[float, float]] = {}

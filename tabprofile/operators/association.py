@@ -36,12 +36,21 @@ def correlation_columns(df: DataFrame, limit: int = MAX_COLUMNS) -> tuple[list[s
     return ranked[:limit], True
 
 
-def correlation_matrix(df: DataFrame, method: str = "pearson", limit: int = MAX_COLUMNS) -> DataFrame:
-    """The full square matrix, diagonal included; empty with fewer than two numeric columns."""
+def correlation_preview(df: DataFrame, method: str = "pearson", limit: int = MAX_COLUMNS) -> tuple[DataFrame, bool]:
+    """The matrix of the ``limit`` most varied numeric columns, and whether columns were left out."""
+    _, truncated = correlation_columns(normalise(df), limit)
+    return correlation_matrix(df, method, limit), truncated
+
+
+def correlation_matrix(df: DataFrame, method: str = "pearson", limit: int | None = None) -> DataFrame:
+    """The full square matrix, diagonal included; empty with fewer than two numeric columns.
+
+    All numeric columns take part unless ``limit`` asks for the most varied ones only.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown correlation method '{method}'")
     df = normalise(df)
-    names, _ = correlation_columns(df, limit)
+    names = numeric_columns(df) if limit is None else correlation_columns(df, limit)[0]
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], _EMPTY)
     build = {"pearson": pearson, "spearman": spearman, "kendall": kendall, "mutual_info": mutual_information}

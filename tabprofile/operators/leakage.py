@@ -126,4 +126,6 @@ def target_guard(df: DataFrame, targets: list[str]) -> DataFrame:
     counted = distinct_counts(normalise(df), targets)
     rows = df.agg(F.count(F.lit(1))).scalar()
     share = F.coalesce(F.try_divide(F.col("n_unique"), rows), F.lit(0.0))
+    every = df.sparkSession.createDataFrame([(c,) for c in targets], "column string")  # a column without values has no count
+    counted = every.join(counted, "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)).cast("bigint"))
     return counted.select("column", "n_unique", (share > TARGET_UNIQUE_SHARE).alias("rejected"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprofile.functions.frames import as_double, col, normalise, numeric_columns, per_column, scalars
-from tabprofile.functions.sampling import hash_sample, unit_hash, with_point_id
+from tabprofile.functions.sampling import unit_hash, with_point_id
 from tabprofile.functions.stats import exact_quantiles
 from tabprofile.operators.neighbours import nearest_neighbours
 from tabprofile.session import materialise
@@ -119,7 +119,8 @@ def isolation_scores(df: DataFrame, key: str, columns: Sequence[str] | None = No
     """Add ``score`` in (0, 1), higher being easier to isolate.
 
     Each of the trees is grown from a small hash sample in its own task; the finished forest has a
-    fixed size and scores all rows batch by batch.  Large tables give the trees disjoint samples.
+    fixed size and scores all rows batch by batch.  A tree's sample is the rows with the smallest hashes of tree and key, whatever the
+    size of the table; a share of the rows that surely holds them is taken first, so few rows are copied.
     """
     df = normalise(df)
     names = list(columns or numeric_columns(df))
@@ -127,15 +128,12 @@ def isolation_scores(df: DataFrame, key: str, columns: Sequence[str] | None = No
     total = df.count()
     rows_per_tree = min(TREE_ROWS, total)
     data = df.select(col(key).alias("k"), vector.alias("x"))
-    if total > TREES * TREE_ROWS:
-        pool = hash_sample(data, "k", TREES * TREE_ROWS, salt="forest")
-        order = F.row_number().over(Window.orderBy(unit_hash("k", "forest"), "k")) - 1  # over the sample only
-        samples = pool.select(F.pmod(order, F.lit(TREES)).alias("tree"), "k", "x")
-    else:
-        each = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        u = unit_hash(F.concat_ws(":", F.col("tree").cast("string"), F.col("k").cast("string")))
-        place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "k"))
-        samples = each.withColumn("u", u).withColumn("r", place).where(F.col("r") <= rows_per_tree).select("tree", "k", "x")
+    u = lambda tree: F.xxhash64(tree, F.col("k").cast("string")).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    share = min(1.0, (2.0 * rows_per_tree + 200.0) / max(total, 1))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda tree: u(tree) <= F.lit(share))
+    each = data.withColumn("tree", F.explode(drawn)).withColumn("u", u(F.col("tree")))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "k"))
+    samples = each.withColumn("r", place).where(F.col("r") <= rows_per_tree).select("tree", "k", "x")
 
     def grow(group):
         import pandas as pd
@@ -230,7 +228,8 @@ def detect_outliers(df: DataFrame, method: str, key: str) -> DataFrame:
 
 def outlier_report(df: DataFrame, method: str, key: str) -> DataFrame:
     """One row: ``method, outlier_count, affected_columns, examples`` (the first keys, in key order)."""
-    flagged = detect_outliers(df, method, key).select(col(key).alias("k"), "outlier_columns")
+    # stored once: three aggregates read it, and scoring is not repeated for each
+    flagged = materialise(detect_outliers(df, method, key).select(col(key).alias("k"), "outlier_columns"))
     order = {c: i for i, c in enumerate(df.columns)}
     columns = flagged.select(F.explode("outlier_columns").alias("c")).groupBy("c").count()
     counted = flagged.agg(F.count(F.lit(1)).alias("outlier_count"))

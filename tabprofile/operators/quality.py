@@ -31,8 +31,10 @@ def entropy(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for f in value_counts(df, columns):
         sums.append(f.groupBy("column").agg(
             F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum("n").cast("double").alias("total")))
-    return union_all(sums).select(
+    found = union_all(sums).select(
         "column", F.greatest(F.lit(0.0), F.log("total") - F.col("nlogn") / F.col("total")).alias("entropy"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # a column without values has no sums
+    return every.join(found, "column", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
 
 
 def _contingency(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -98,6 +100,8 @@ def population_stability(before: DataFrame, after: DataFrame, column: str, bins:
     """Stability index over equal-width bins of the earlier data; empty cells count as one half row."""
     before, after = normalise(before), normalise(after)
     ends = scalars(before, {"low": F.min(as_double(before, column)), "high": F.max(as_double(before, column))})
+    if ends["low"] is None:
+        raise ValueError(f"the earlier data has no value of '{column}' to place bins by")
 
     def shares(df: DataFrame, side: str) -> DataFrame:
         v = as_double(df, column)

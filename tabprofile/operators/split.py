@@ -27,8 +27,11 @@ def split_stratified(df: DataFrame, target: str, key: str, share: float = TRAIN_
 
 
 def split_time(df: DataFrame, time_column: str, key: str, share: float = TRAIN_SHARE, name: str = "is_train") -> DataFrame:
-    """The earliest rows train, the latest test; rows of the boundary moment are divided by hash."""
-    quota = int(df.count() * share)
+    """The earliest rows train, the latest test; rows of the boundary moment are divided by hash.
+
+    Shares are of the rows with a time.  Rows without one follow the latest and test.
+    """
+    quota = int(df.where(col(time_column).isNotNull()).count() * share)
     return time_segments(df, time_column, key, [quota], "_part").withColumn(name, F.col("_part") == 0).drop("_part")
 
 

@@ -17,7 +17,6 @@ from tabprofile.operators.columns import edges_reached
 from tabprofile.operators.pii import parsed_timestamp
 from tabprofile.plans.spec import FeatureStep
 
-MAX_ONEHOT = 1_000
 # Up to this many categories codes are a literal map; beyond it they are a table to join.
 MAX_CODE_MAP = 5_000
 DRY_RUN_ROWS = 200
@@ -48,14 +47,22 @@ def impute_constant(df: DataFrame, columns: Sequence[str], fill_value: object =
     return df.withColumns({c: F.coalesce(col(c), F.lit(fill_value).cast(type_of(df, c))) for c in columns})
 
 
-def encode_onehot(df: DataFrame, columns: Sequence[str], limit: int = MAX_ONEHOT) -> DataFrame:
-    """One byte column per value, in value order, after the other columns; a missing value has none set."""
+def encode_onehot(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """One byte column per value, in value order, after the other columns; a missing value has none set.
+
+    The values of all columns come from one pass.  They become columns, so the driver has to know them all; ``limit`` makes more than so
+    many values of a column an error.
+    """
     df = normalise(df)
     require_columns(df, columns)
     flags: dict[str, Column] = {}
+    found: dict[str, list] = {c: [] for c in columns}
+    for counts in value_counts(df, columns):
+        for r in counts.select("column", "value").collect():
+            found[r["column"]].append(r["value"])
     for c in columns:
-        values = [r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().limit(limit + 1).collect()]
-        if len(values) > limit:
+        values = found[c]
+        if limit is not None and len(values) > limit:
             raise ValueError(f"'{c}' has more than {limit} values; one-hot encoding would add a column for each")
         for v in sorted(values):
             flags[f"{c}_{v}"] = F.when(col(c) == F.lit(v), 1).otherwise(0).cast("byte")
@@ -69,16 +76,15 @@ def encode_ordinal(df: DataFrame, columns: Sequence[str], map_limit: int = MAX_C
     require_columns(df, columns)
     for c in columns:
         text = F.coalesce(col(c).cast("string"), F.lit("nan"))
-        distinct = df.select(text.alias("t")).distinct()
+        distinct = df.select(text.alias("__text")).distinct()
         few = distinct.limit(map_limit + 1).collect()
         if len(few) <= map_limit:
             codes = F.create_map(*[F.lit(x) for i, t in enumerate(sorted(r[0] for r in few)) for x in (t, float(i))])
             df = df.withColumn(c, F.element_at(codes, text)) if few else df.withColumn(c, F.lit(None).cast("double"))
         else:
-            table = with_row_index(distinct, ["t"], "code").select("t", F.col("code").cast("double").alias("code"))
-            order = df.columns
-            df = df.withColumn("t", text).join(small_or_same(table), "t", "left").drop(c, "t").withColumnRenamed("code", c).select(
-                *[col(o) for o in order])
+            table = with_row_index(distinct, ["__text"], "__code").select("__text", F.col("__code").cast("double").alias("__code"))
+            joined = df.withColumn("__text", text).join(small_or_same(table), "__text", "left")
+            df = joined.select(*[F.col("__code").alias(c) if o == c else col(o) for o in df.columns])
     return df
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprofile.functions.frames import as_double, is_datetime, is_numeric, is_string, normalise, scalars, type_of
+from tabprofile.functions.frames import as_double, fetched, is_datetime, is_numeric, is_string, normalise, scalars, type_of
 from tabprofile.functions.stats import skewness
 from tabprofile.operators import leakage as L
 from tabprofile.operators import outliers as O
@@ -117,11 +117,11 @@ def suggest_steps(
     return steps
 
 
-def resampling_suggestion(profile: DataFrame, task: TaskSpec) -> dict:
-    """Interpolated over-sampling when the smallest class is rare."""
+def resampling_suggestion(profile: DataFrame, task: TaskSpec, minority: DataFrame | None = None) -> dict:
+    """Interpolated over-sampling when the smallest class is rare; ``minority`` as in :func:`profile_insights`."""
     ratio = None
     if task.is_classification:
-        row = L.minority_share(profile.where(F.col("column") == task.target_column)).first()
+        row = (L.minority_share(profile.where(F.col("column") == task.target_column)) if minority is None else minority).first()
         ratio = row["minority_ratio"] if row else None
     rare = ratio is not None and ratio < L.IMBALANCE
     return {
@@ -156,13 +156,14 @@ def run_eda(df: DataFrame, task: TaskSpec, profile: DataFrame | None = None, fla
     listed = [r.asDict() for r in flags.orderBy("position").collect()]  # at most two rows per column
     plain = column_profile(df, pii={}) if pii else profile
     wide = is_wide(df)
-    insights = profile_insights(profile, task, None if wide else strong_pairs(df, pii), wide)
+    minority = fetched(L.class_minority(df, task.target_column)) if task.is_classification else None
+    insights = profile_insights(profile, task, None if wide else strong_pairs(df, pii), wide, minority)
     others = sum(c != task.target_column for c in df.columns)
     if others >= SELECTION_ADVICE_FROM:
         insights = insights.unionByName(selection_advice(df.sparkSession, others))
     return EdaReport(
         steps=suggest_steps(column_facts(df, plain), task, listed, pii),
-        resampling=resampling_suggestion(profile, task),
+        resampling=resampling_suggestion(profile, task, minority),
         profile=profile,
         insights=insights,
     )

@@ -30,8 +30,13 @@ def _row(rows: DataFrame, id_: Column | str, category: str, tone: Column | str,
         value.cast("double").alias("value"), message.alias("message"))
 
 
-def profile_insights(profile: DataFrame, task: TaskSpec, pairs: DataFrame | None = None, wide: bool = False) -> DataFrame:
-    """Privacy, width, gaps, identifiers, strong correlation and class imbalance."""
+def profile_insights(
+    profile: DataFrame, task: TaskSpec, pairs: DataFrame | None = None, wide: bool = False, minority: DataFrame | None = None
+) -> DataFrame:
+    """Privacy, width, gaps, identifiers, strong correlation and class imbalance.
+
+    ``minority`` is the share of the rarest class over all classes; without it, the classes that the profile lists have to do.
+    """
     nothing = F.lit(None)
     out = []
     masked = profile.where("is_pii").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
@@ -56,7 +61,8 @@ def profile_insights(profile: DataFrame, task: TaskSpec, pairs: DataFrame | None
         out.append(_row(top, "strong_correlation", "correlation", "info", F.concat_ws(",", "p.a", "p.b"), F.col("p.correlation"),
                         F.format_string("'%s' and '%s' are strongly correlated (r=%.2f)", "p.a", "p.b", "p.correlation")))
     if task.is_classification:
-        ratio = minority_share(profile).where((F.col("column") == task.target_column) & (F.col("minority_ratio") < IMBALANCE))
+        shares = minority_share(profile) if minority is None else minority.select(F.lit(task.target_column).alias("column"), "minority_ratio")
+        ratio = shares.where((F.col("column") == task.target_column) & (F.col("minority_ratio") < IMBALANCE))
         out.append(_row(ratio, "class_imbalance", "imbalance", "warning", F.col("column"), F.col("minority_ratio"),
                         F.format_string("the smallest class has %.0f%% of the rows; accuracy alone misleads", F.col("minority_ratio") * 100)))
     return union_all(out)

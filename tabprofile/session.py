@@ -36,6 +36,8 @@ def storage_root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "path" not in _LOCAL:
         _LOCAL["path"] = tempfile.mkdtemp(prefix="tabprofile-")
         atexit.register(shutil.rmtree, _LOCAL["path"], ignore_errors=True)

@@ -1,11 +1,13 @@
 """Operators against small frames with known answers."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabprofile.operators import association, columns, leakage, neighbours, outliers, pii, profile, rows
+from tabprofile.operators import association, columns, leakage, neighbours, outliers, pii, profile, quality, rows, split, steps
 from tabprofile.sources import loading, sinks
 
 
@@ -359,3 +361,40 @@ def test_roundtrip_keeps_types(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (None, "x")], "i int, s string")
     sinks.write_dataset(df, str(tmp_path / "t.parquet"))
     assert loading.load_dataset(spark, str(tmp_path / "t.parquet")).schema == df.schema
+
+
+# ---- missing values, odd names and wide inputs ---------------------------------------------
+
+def test_split_with_missing_times_leaves_them_for_the_test(spark):
+    rows = [(i, None if i % 2 else datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i)) for i in range(100)]
+    placed = split.split_time(spark.createDataFrame(rows, "k int, at timestamp"), "at", "k").collect()
+    assert sorted(r.k for r in placed if r.is_train) == list(range(0, 80, 2))
+
+
+def test_columns_without_values_have_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "a int, b string")
+    assert {r["column"]: r.entropy for r in quality.entropy(df, ["a", "b"]).collect()} == {"a": pytest.approx(np.log(2)), "b": 0.0}
+    assert {r["column"]: (r.n_unique, r.rejected) for r in leakage.target_guard(df, ["a", "b"]).collect()} == {"a": (2, True), "b": (0, False)}
+    with pytest.raises(ValueError):
+        quality.population_stability(df.withColumn("b", df.b.cast("double")), df, "b")
+
+
+def test_ordinal_codes_beside_helper_names(spark):
+    df = spark.createDataFrame([("x", 1, 2), ("y", 3, 4), (None, 5, 6)], "c string, t int, code int")
+    for limit in (1, 5_000):
+        assert sorted(tuple(r) for r in steps.encode_ordinal(df, ["c"], limit).collect()) == [(0.0, 5, 6), (1.0, 1, 2), (2.0, 3, 4)]
+
+
+def test_all_numeric_columns_are_correlated_unless_a_limit_is_given(spark):
+    df = spark.range(30).selectExpr(*[f"id * {i} + pow(id, {i % 4}) AS c{i}" for i in range(60)])
+    assert association.correlation_matrix(df).select("col_a").distinct().count() == 60
+    shown, truncated = association.correlation_preview(df)
+    assert truncated and shown.select("col_a").distinct().count() == 50
+
+
+def test_forest_sample_does_not_depend_on_a_switch(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "double(id % 97) AS a", "CASE WHEN id % 50 = 7 THEN 1e4 + id ELSE double(id % 89) END AS b")
+    monkeypatch.setattr(outliers, "TREES", 20)
+    monkeypatch.setattr(outliers, "TREE_ROWS", 64)
+    best = outliers.isolation_scores(df, "id").orderBy(F.desc("score")).limit(30).collect()
+    assert sum(r.id % 50 == 7 for r in best) >= 25
