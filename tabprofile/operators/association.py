@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import (
-    as_double, col, normalise, numeric_columns, per_column, scalars, small_or_same, union_all, value_counts,
+    as_double, chunks, col, normalise, numeric_columns, per_column, scalars, small_or_same, union_all, value_counts,
 )
 from tabprofile.functions.sampling import ordered_totals
 from tabprofile.functions.stats import correlation, exact_quantiles
@@ -19,6 +19,8 @@ METHODS = ("pearson", "spearman", "kendall", "mutual_info")
 MAX_COLUMNS = 50
 # Up to this many sums the matrix is a set of built-in aggregates, beyond it a matrix product.
 TERMS_PER_AGGREGATE = 200
+#: Coefficients of ranks that one aggregate computes.
+SPEARMAN_PAIRS = 100
 INFORMATION_BINS = 10
 # Slices per side of the rank grid; the grid of one pair has at most the square of this.
 MAX_SLICES = 2048
@@ -164,38 +166,64 @@ def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Pearson of average ranks, ranked over the rows where both columns are present.
 
     A column is ranked once per distinct set of rows: over its own values, and again for each
-    partner with missing values.  Ranks come from value counts summed in order, so equal values
-    collapse first and no column is sorted in one task; they return to the rows by an equi-join.
+    partner with missing values.  All rankings are made together: values are unpivoted, sliced along
+    (ranking, value, row), ranked within their slices, and folded back per row, whatever the number
+    of columns.  A frequent value spreads over slices like any other.
     """
     exprs = {n: as_double(df, n) for n in names}
     nulls = scalars(df, {n: F.count_if(exprs[n].isNull()) for n in names})
-    ranked: dict[tuple[str, str | None], str] = {}
-    columns: dict[str, Column] = {}
+    ranked: dict[tuple[str, str | None], int] = {}
+    columns: list[Column] = []
 
-    def ranking(a: str, other: str) -> str:
+    def ranking(a: str, other: str) -> int:
         mask = other if nulls[other] and other != a else None
         if (a, mask) not in ranked:
-            name = ranked[a, mask] = f"v{len(ranked)}"
-            columns[name] = exprs[a] if mask is None else F.when(exprs[other].isNotNull(), exprs[a])
+            ranked[a, mask] = len(ranked)
+            columns.append(exprs[a] if mask is None else F.when(exprs[other].isNotNull(), exprs[a]))
         return ranked[a, mask]
 
     used = {(a, b): (ranking(a, b), ranking(b, a)) for a, b in _pairs_with_diagonal(names)}
-    values = df.select(*[e.alias(n) for n, e in columns.items()])
-    counts = union_all(value_counts(values, list(columns)))
-    ordered = ordered_totals(counts, ["column"], ["value"], F.col("n"), "before")
-    ranks = ordered.select("column", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-    rows = values
-    for name in columns:
-        table = ranks.where(F.col("column") == name).select(F.col("value").alias(name), F.col("rank").alias(f"r_{name}"))
-        rows = rows.join(small_or_same(table), name, "left")
-    wide = rows.agg(*[
-        correlation(F.col(f"r_{x}"), F.col(f"r_{y}")).alias(f"c{i}") for i, (x, y) in enumerate(used.values())
-    ])
-    out = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("value"))
-        for i, (a, b) in enumerate(used)
-    ]
-    return _both_ways(wide.select(F.inline(F.array(*out))))
+    rows = materialise(df.select(F.array(*columns).alias("x")).withColumn("row", F.monotonically_increasing_id()))
+    ranks = _average_ranks(rows.select("row", F.posexplode("x").alias("ranking", "value")).where("value is not null"))
+    wide = ranks.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("ranking", "rank"))).alias("r"))
+    wide = materialise(wide.select(F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.col("r")[i]).alias("r")))
+    out = []
+    for group in chunks(list(used), SPEARMAN_PAIRS):
+        sums = wide.agg(*[correlation(F.col("r")[used[p][0]], F.col("r")[used[p][1]]).alias(f"c{i}") for i, p in enumerate(group)])
+        out.append(sums.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(group)]))))
+    return _both_ways(union_all(out))
+
+
+def _average_ranks(values: DataFrame) -> DataFrame:
+    """``row, ranking, rank`` from ``row, ranking, value``: 1-based ranks within a ranking, equal values sharing their mean.
+
+    Slices are sorted on their own.  A value may go on in later slices, but only a slice's first and last value of a ranking can; their
+    counts and the slices' sizes, two short rows per slice and ranking, tell where each slice begins and how far its edges reach.
+    """
+    slices = materialise(
+        values.repartitionByRange(shuffle_partitions(values.sparkSession), "ranking", "value", "row").withColumn("slice", F.spark_partition_id()))
+    counts = slices.groupBy("slice", "ranking").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    at_edge = slices.join(F.broadcast(counts), ["slice", "ranking"]).groupBy("slice", "ranking").agg(
+        F.count_if(F.col("value") == F.col("low")).alias("n_low"), F.count_if(F.col("value") == F.col("high")).alias("n_high"))
+    edges = counts.join(at_edge, ["slice", "ranking"])
+    in_order = Window.partitionBy("ranking").orderBy("slice")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # equal edge values of all slices of a ranking, each slice's own count taken once
+    ends = edges.select("ranking", "slice", F.inline(F.array_distinct(F.array(
+        F.struct(F.col("low").alias("value"), F.col("n_low").alias("k")), F.struct(F.col("high").alias("value"), F.col("n_high").alias("k"))))))
+    whole = ends.join(edges.select("ranking", "slice", "base", "n", F.col("low").alias("_low"), F.col("n_high")), ["ranking", "slice"]).groupBy("ranking", "value").agg(
+        F.sum("k").alias("all"),
+        # the value's first row: its slice's base where it is the low end, else behind the other rows of that slice
+        F.min(F.when(F.col("value") == F.col("_low"), F.col("base")).otherwise(F.col("base") + F.col("n") - F.col("n_high"))).alias("first"))
+    inner = Window.partitionBy("slice", "ranking").orderBy("value")
+    placed = slices.join(F.broadcast(edges.select("slice", "ranking", "base")), ["slice", "ranking"])
+    placed = placed.withColumn("_less", F.rank().over(inner) - 1 + F.col("base")).withColumn(
+        "_equal", F.count(F.lit(1)).over(Window.partitionBy("slice", "ranking", "value")))
+    found = placed.join(F.broadcast(whole), ["ranking", "value"], "left")
+    first, equal = F.coalesce("first", "_less"), F.coalesce("all", "_equal")
+    return found.select("row", "ranking", (first + (equal + 1) / 2).alias("rank"))
 
 
 def _inversion_weight(rank, weight, cell=None) -> float:

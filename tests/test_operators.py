@@ -398,3 +398,16 @@ def test_forest_sample_does_not_depend_on_a_switch(spark, monkeypatch):
     monkeypatch.setattr(outliers, "TREE_ROWS", 64)
     best = outliers.isolation_scores(df, "id").orderBy(F.desc("score")).limit(30).collect()
     assert sum(r.id % 50 == 7 for r in best) >= 25
+
+
+def test_spearman_with_gaps_and_a_dominant_value(spark):
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame({f"c{i}": np.where(rng.uniform(size=400) < 0.99 if i == 0 else rng.uniform(size=400) < 0.3, 5.0, rng.integers(0, 40, 400)) for i in range(12)})
+    for i in range(1, 9):
+        data.loc[rng.uniform(size=400) < 0.1 * i, f"c{i}"] = np.nan
+    got = matrix(association.spearman(spark.createDataFrame(data).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in data.columns]), list(data.columns)))
+    want = data.corr("spearman")
+    for (a, b), v in got.items():
+        expected = want.loc[a, b]
+        assert v == pytest.approx(0.0 if np.isnan(expected) else expected, abs=1e-9), (a, b)
+    assert len(got) == 144
