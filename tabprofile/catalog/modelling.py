@@ -259,6 +259,34 @@ def train_candidates(spark, d):
     return T.results_table(spark, "r", results).select("position", "candidate_name", "status", F.to_json("metrics").alias("metrics"))
 
 
+_RICH = "(c_acctbal > 8500)"
+
+
+@query("train_pipeline", f"""
+WITH c AS (SELECT {_RICH} AS rich, count(*) AS n, floor(count(*) * 0.8 + 0.5)::BIGINT AS fit FROM customer GROUP BY 1), s AS (SELECT sum(fit)::BIGINT AS fit, sum(n - fit)::BIGINT AS test FROM c)
+SELECT name AS candidate_name, 'succeeded' AS status, fit AS train_rows, test AS test_rows, 'smote' AS resampling, 3 AS cv_folds, 3 AS trials,
+  TRUE AS baseline_first, TRUE AS never_worse, TRUE AS ranked FROM s, (VALUES ('Logistic Regression'), ('Random Forest')) t(name)""")
+def train_pipeline(spark, d):
+    """The whole job: split, search, cross-validation, interpolated over-sampling, fit, evaluation, importance."""
+    df = read(spark, d, "customer").select(
+        "c_custkey", "c_nationkey", "c_mktsegment", (F.col("c_acctbal") / 1000 + F.col("c_custkey") % 7).alias("noisy"), F.expr(_RICH).alias("rich"))
+    task = TaskSpec("classification", "rich", "f1")
+    prepared = T.prepare(df, task, key="c_custkey")
+    baseline = {"Logistic Regression": ("LogisticRegression", {"maxIter": 10}), "Random Forest": ("RandomForestClassifier", {"numTrees": 5, "maxDepth": 4, "seed": 0})}
+    steps = [FeatureStep("encode", ("c_mktsegment",), {"method": "target"}), FeatureStep("scale", ("noisy",))]
+    options = T.Options(cv_folds=3, resampling="smote", tuning_trials=3)
+    results = T.train_all(prepared, [CandidateModel(n, e, p) for n, (e, p) in baseline.items()], steps, options)
+    counts = prepared.data.groupBy("is_train").count().collect()
+    train, test = (sum(r["count"] for r in counts if bool(r["is_train"]) is side) for side in (True, False))
+    rows = [
+        (r.candidate_name, r.status if r.status == "succeeded" else str(r.error), train, test, r.resampling_applied, r.cv_folds, len(r.trials),
+         bool(r.trials) and r.trials[0].params == baseline[r.candidate_name][1], all(t.best_score >= r.trials[0].score for t in r.trials),
+         abs(sum(v for _, v in r.feature_importance) - 1) < 0.01)
+        for r in results]
+    return spark.createDataFrame(rows, "candidate_name string, status string, train_rows long, test_rows long, resampling string, cv_folds int, "
+                                       "trials int, baseline_first boolean, never_worse boolean, ranked boolean")
+
+
 @query("feature_importance")
 def feature_importance(spark, d):
     _, result = _trained(spark, d, FLAG_TASK, "RandomForestClassifier", {"n_estimators": 10, "max_depth": 5, "random_state": 0})
