@@ -30,10 +30,28 @@ def test_repeats_in_texts_longer_than_a_block(spark, monkeypatch):
     assert got == {d: int(g.sum()) for (d, _), (_, g) in zip(docs, fixtures.plain_repeats(docs))}
 
 
+def test_repeats_within_one_run(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(50)]
+    docs = [(i, " ".join(f"{w} " * int(rng.integers(2, 25)) for w in rng.choice(words, 8, replace=False))) for i in range(60)]
+    docs += [(100, " theashed" * 13 + " wheror" * 30), (101, "".join(rng.choice(list("ab"), 3000)))]
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(fixtures.frame(spark, docs)).collect()}
+    want = {d: (int(g.sum()), bytes(np.frombuffer(raw, np.uint8)[~g])) for (d, _), (raw, g) in zip(docs, fixtures.plain_repeats(docs))}
+    assert got == want
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_repeats_of_the_given_table(spark, scale):
+    df = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect()}
+    assert got == {d: (int(g.sum()), bytes(np.frombuffer(raw, np.uint8)[~g])) for (d, _), (raw, g) in zip(docs, fixtures.plain_repeats(docs))}
+
+
 def test_blocks_of_a_long_text_find_every_string():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 105, 5000).astype(np.uint8)
-    text, start, count, _, _ = suffixes.find_runs(data, np.array([2000, 50, 2950]), 100)
+    text, start, count, *_ = suffixes.find_runs(data, np.array([2000, 50, 2950]), 100)
     covered = sorted((t, s + k) for t, s, n in zip(text.tolist(), start.tolist(), count.tolist()) for k in range(n))
     assert covered == [(0, i) for i in range(1901)] + [(2, i) for i in range(2851)]
 
