@@ -22,8 +22,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.35
 
 
+#: Rows of an Arrow batch between Spark and Python: documents are long, and batches are held on both sides.
+BATCH_ROWS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those of which no language explains the words."""
+    _small_batches(spark)
     model = learn(docs, F.col("doc_id").isNotNull())
     found = predict_languages(docs, model, COLUMNS)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -31,11 +40,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group linked by four fifths of common shingles of five words."""
+    _small_batches(spark)
     return keep_one(docs.select(*COLUMNS), percent=80, words=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 100 bytes that stand earlier in the corpus out of every text; ``n_chars`` follows the text."""
+    _small_batches(spark)
     cut = remove_repeats(docs.select(*COLUMNS), 100, as_text=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
 
@@ -48,6 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all texts in sequences of at most 1024."""
+    _small_batches(spark)
     return pack(docs, default_tokenizer())
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprofile.llm.common import HASH_BLOCK, pieces, spread
+from tabprofile.llm.common import HASH_BLOCK, claim, pieces, spread
 
 #: Documents per language, and languages (the most frequent ones), that the model is learned from.
 TRAIN_DOCS, LANGUAGES = 500, 64
@@ -27,7 +27,7 @@ SEQUENCE, STRETCH = 32, 24
 EPOCHS, BATCH, RATE = 2, 256, 0.3
 BITS = 16
 LEXICON_WORDS = 400
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 300_000
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters are folded, other ASCII bytes part words, bytes of other scripts stay
 _FOLD = bytes(c if c >= 128 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -69,6 +69,9 @@ class Chain:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_cache", "_rows")} | {"_cache": {}, "_rows": None}
 
+    def forget(self) -> None:
+        self._cache, self._rows = {}, None
+
     def memberships(self, words: list[bytes]) -> np.ndarray:
         bits = np.array([self.lexicon.get(w, 0) for w in words], np.uint64)
         return (bits[:, None] >> np.arange(len(self.languages), dtype=np.uint64) & np.uint64(1)).astype(np.float32)
@@ -251,6 +254,7 @@ def predict_languages(docs: DataFrame, model: Chain, carry: Sequence[str] = ("do
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
+        claim(f"chain {id(chain)}", chain.forget)
         for batch in pieces(batches, HASH_BLOCK):
             found = chain.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
