@@ -2,6 +2,7 @@ import hashlib
 
 import fixtures
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,18 @@ def test_repeats_within_one_run(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("others", [0, 1])
+def test_mark_of_a_crowded_anchor_outlives_an_earlier_place(others):
+    # a crowded batch left its marked run of anchor 7; a batch that is not crowded has the same run earlier, and perhaps another one
+    runs = [(9, 5, suffixes._BY_STRING), (1, 5, suffixes._JUDGE), (2, 6, suffixes._JUDGE)][: 2 + others]
+    cols = {"id": [r[0] for r in runs], "hash": [0] * len(runs), "start": [0] * len(runs), "count": [50] * len(runs), "anchor": [7] * len(runs),
+            "digest": np.array([r[1] for r in runs], "<u8"), "state": [r[2] for r in runs]}
+    packed = pd.DataFrame({k: [suffixes._pack(k, np.array(v))] for k, v in cols.items()})
+    found = suffixes._gather(64)(packed)
+    states = dict(zip(found["id"], found["state"]))
+    assert states == {1: suffixes._BY_STRING, 9: suffixes._REPEATS} | ({2: suffixes._BY_STRING} if others else {})
+
+
 @pytest.mark.parametrize("scale", ["0.001", "0.01"])
 def test_repeats_of_the_given_table(spark, scale):
     df = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
