@@ -53,6 +53,22 @@ def test_mark_of_a_crowded_anchor_outlives_an_earlier_place(others):
     assert states == {1: suffixes._BY_STRING, 9: suffixes._REPEATS} | ({2: suffixes._BY_STRING} if others else {})
 
 
+def test_a_row_given_twice_keeps_its_text_once(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(400)]
+    phrase = " ".join(rng.choice(words, 14))
+    docs = [(i, " ".join(rng.choice(words, 30)) + f" {phrase} " + " ".join(rng.choice(words, 30))) for i in range(12)]
+    docs += docs[:6] + docs[:2]
+    for hot in (64, 1):
+        got = {}
+        for r in suffixes.remove_repeats(fixtures.frame(spark, docs, 5), 100, hot).collect():
+            got.setdefault(r.doc_id, []).append((r.n_removed, bytes(r.kept)))
+        want = {}
+        for (d, _), (raw, gone) in zip(docs, fixtures.plain_repeats(docs)):
+            want.setdefault(d, []).append((int(gone.sum()), bytes(np.frombuffer(raw, np.uint8)[~gone])))
+        assert {d: sorted(v) for d, v in got.items()} == {d: sorted(v) for d, v in want.items()}
+
+
 @pytest.mark.parametrize("scale", ["0.001", "0.01"])
 def test_repeats_of_the_given_table(spark, scale):
     df = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
