@@ -195,16 +195,8 @@ def _solve_blocks(percent: int, block: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, region: int = REGION) -> DataFrame:
-    """``doc_id, hash, n_shingles, component_id, kept``: documents linked where 100 * |A and B| >= ``percent`` * |A or B|.
-
-    ``component_id`` is the smallest ``doc_id`` of a group, ``kept`` tells whether it is the row's own; ``hash`` (xxhash64 of the text) tells
-    rows of one ``doc_id`` apart.  Links are confirmed on full sets.  A pair at the threshold is missed with probability
-    (1 - 0.85^3)^16 = 2e-7; in regions of more than ``region`` nodes it must also be near in some tree's sorted order.
-
-    Null and empty texts and texts without words have no shingles, are linked with nothing and kept.  Null ``doc_id`` counts as smallest.
-    Rows that repeat a ``doc_id`` are separate documents.  An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, percent: int, words: int, region: int) -> DataFrame:
+    """``id, hash, n, root, component`` of every row: the root is unique to a group, null without words; the component is the group's least id."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("hash"),
@@ -238,10 +230,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, region:
     # the smallest document of a group speaks for it
     named = nodes.select("node", "d1", "d2", "n", "id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    by_set = named.join(least, "root").select("d1", "d2", "n", "component")
+    by_set = named.join(least, "root").select("d1", "d2", "n", "root", "component")
     found = signed.select("id", "hash", "n", "d1", "d2").join(by_set, ["d1", "d2", "n"], "left")
-    component = F.coalesce("component", "id")
-    return found.select(
+    return found.select("id", "hash", "n", "root", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, region: int = REGION) -> DataFrame:
+    """``doc_id, hash, n_shingles, component_id, kept``: documents linked where 100 * |A and B| >= ``percent`` * |A or B|.
+
+    ``component_id`` is the smallest ``doc_id`` of a group, ``kept`` tells whether it is the row's own; ``hash`` (xxhash64 of the text) tells
+    rows of one ``doc_id`` apart.  Links are confirmed on full sets.  A pair at the threshold is missed with probability
+    (1 - 0.85^3)^16 = 2e-7; in regions of more than ``region`` nodes it must also be near in some tree's sorted order.
+
+    Null and empty texts and texts without words have no shingles, are linked with nothing and kept.  Null ``doc_id`` counts as smallest.
+    Rows that repeat a ``doc_id`` are separate documents.  An empty table gives no rows.
+    """
+    component = F.col("component")
+    return _grouped(docs, percent, words, region).select(
         F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "hash", F.col("n").alias("n_shingles"),
         F.nullif(component, F.lit(_NO_ID)).alias("component_id"), (F.col("id") == component).alias("kept"))
 
@@ -249,12 +254,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, region:
 def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate group: that with the smallest ``doc_id``, of its rows that with the smallest hash.
 
-    Texts without words are in no group and all stay; of rows equal in ``doc_id`` and text, one stays.
+    Groups are told apart by their links, not by ``doc_id``, so unlinked texts with null or repeated ids all stay.  Texts without words are in
+    no group and all stay; of rows equal in ``doc_id`` and text, one stays.
     """
-    found = near_duplicates(docs, percent, words).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), "hash", "n_shingles", "component_id")
-    single = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.lit(_NO_ID)))
-    chosen = found.where("n_shingles > 0").groupBy(single.alias("_id")).agg(F.min("hash").alias("_hash")).unionAll(
-        found.where("n_shingles = 0").select("_id", F.col("hash").alias("_hash")).distinct())
+    found = _grouped(docs, percent, words, REGION)
+    chosen = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "hash")).alias("r")).select(
+        F.col("r.id").alias("_id"), F.col("r.hash").alias("_hash")).unionAll(
+        found.where("n = 0").select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct())
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)), "_hash": F.xxhash64(F.col("text").cast("string"))})
     nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
     return keyed.join(chosen, ["_id", "_hash"]).withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)

@@ -126,6 +126,12 @@ def test_one_of_each_group_stays(spark):
     assert len([r for r in kept if not fixtures.words_of(r.text)]) == len({(d, t) for d, t in docs if not fixtures.words_of(t)})
 
 
+def test_unlinked_texts_with_null_or_repeated_ids_stay(spark):
+    docs = [(d, " ".join(f"{w}{d}{k}{i}" for i in range(9))) for d, w in ((None, "x"), (7, "y")) for k in range(3)] + [(8, "a b c d e f")] * 2
+    kept = keep_one(fixtures.frame(spark, docs, 4), 80).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, set(docs)))
+
+
 def test_empty_tables(spark):
     empty = fixtures.frame(spark, [(1, "a")]).where("false")
     assert near_duplicates(empty).count() == 0
