@@ -3,10 +3,13 @@
 1. Every text gives the set of its word shingles, a signature of ``TREES x DEPTH`` minima, and one key per tree from the first
    ``LEAST`` minima.  Documents with equal sets become one node.
 2. Nodes that share a key in any tree lie in one region (connected components over keys).  Only their sets are formed again.
-3. A region of up to ``REGION`` nodes is solved in one task.  A larger one is cut, in every tree's sorted order of signatures, into blocks
-   of neighbours: the denser the region, the longer the prefix that the nodes of a block share.
+3. A region of up to ``REGION`` nodes is solved in one task.  A larger one is first cut, in every tree's sorted order of signatures of
+   ``DEPTH`` minima, into blocks of neighbours, which links most of its near copies.
 4. In a region or block all pairs whose sizes and signatures allow the similarity are compared on full sets, nearest first, unless links
-   found so far connect them already.  The links' components are the groups.
+   found so far connect them already.
+5. Pairs of a large region that the blocks left apart meet by their rare shingles: similar sets share one of their rarest, so each node is
+   listed under those, lists within one group are passed over, long lists are split, and the pairs that meet are compared on full sets.
+   The links' components are the groups.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprofile.llm.common import HASH_BLOCK, mix64, pieces, powers
+from tabprofile.llm.common import HASH_BLOCK, mix64, pieces, powers, spread
 from tabprofile.llm.graphs import components
 from tabprofile.session import materialise, shuffle_partitions
 
 TREES, DEPTH, LEAST = 16, 6, 3
 #: Nodes of a region or block that are compared with each other.
 REGION = 1024
+#: Slots over which the shingles of large regions are counted to tell rare from common ones.
+SLOTS = 1 << 20
 #: Standard deviations of the signatures' estimate below the threshold at which a pair is still compared.
 SLACK = 6.0
 _NO_ID = -(1 << 63)
@@ -125,8 +130,7 @@ def _links_within(nodes: np.ndarray, minima: np.ndarray, sets: list[np.ndarray],
     if n < 2:
         return []
     size = np.array([len(s) for s in sets])
-    share = percent / 100
-    least = (share - SLACK * (share * (1 - share) / minima.shape[1]) ** 0.5) * minima.shape[1]
+    least = _least_equal(percent, minima.shape[1])
     left, right, score = [], [], []
     for i in range(n - 1):
         fits = np.flatnonzero(100 * np.minimum(size[i], size[i + 1:]) >= percent * np.maximum(size[i], size[i + 1:])) + i + 1
@@ -148,10 +152,7 @@ def _links_within(nodes: np.ndarray, minima: np.ndarray, sets: list[np.ndarray],
         a, b = root(i), root(j)
         if a == b:
             continue
-        both = np.concatenate([sets[i], sets[j]])
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+        if _similar(sets[i], sets[j], percent):
             parent[a] = b
             out.append((int(nodes[i]), int(nodes[j])))
     return out
@@ -195,6 +196,111 @@ def _solve_blocks(percent: int, block: int):
     return run
 
 
+def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall on each slot, in chunks of slots."""
+    found = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), "<u8")
+        found += np.bincount(_slots(flat), minlength=SLOTS)
+    parts = found.reshape(-1, 1 << 14)
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].astype("<i8").tobytes() for k in some], pa.binary())], ["chunk", "counts"])
+
+
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].astype("int32"), "counts": [total.astype("<i8").tobytes()]})
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles * _STEP >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _rarest(percent: int, counts):
+    """A node's shingles in order of slot count and hash, so many that similar sets share one; any order that is one for all nodes is exact."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, HASH_BLOCK, "shingles"):
+            tokens, sizes = [], []
+            for region, data in zip(batch.column("region").to_pylist(), batch.column("shingles").to_pylist()):
+                s = np.frombuffer(data, "<u8")
+                order = np.lexsort([s, counts.value[_slots(s)]])[: len(s) + percent * len(s) // -100 + 1]
+                tokens.append(mix64(s[order] + mix64(np.array([region], np.int64).view(np.uint64)) * _STEP).view("<i8"))
+                sizes.append(len(s))
+            many = np.array([len(t) for t in tokens])
+            where = pa.array(np.repeat(np.arange(len(many)), many))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(tokens)), batch.column("node").take(where), batch.column("part").take(where),
+                pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(spread(many))], ["token", "node", "part", "n", "at"])
+
+    return run
+
+
+def _likely(percent: int):
+    """Pairs whose signatures allow the similarity."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("left", "right"))
+                fits = pa.array((x == y).sum(axis=1) >= _least_equal(percent, x.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(fits) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _confirm(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
+            fits = pa.array(fits, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(fits) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _least_equal(percent: int, minima: int) -> float:
+    share = percent / 100
+    return (share - SLACK * (share * (1 - share) / minima) ** 0.5) * minima
+
+
+def _remaining_links(large: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between nodes of a region that are in different ``groups`` so far, by prefixes of rare shingles."""
+    spark = large.sparkSession
+    counts = np.zeros((SLOTS >> 14, 1 << 14), np.int64)
+    tallied = large.select("shingles").mapInArrow(_tally, "chunk int, counts binary").groupBy("chunk").applyInPandas(_add_up, "chunk int, counts binary")
+    for r in tallied.collect():
+        counts[r["chunk"]] = np.frombuffer(r["counts"], "<i8")
+    shared = spark.sparkContext.broadcast(counts.ravel())
+    named = large.select("node", "region", "shingles").join(groups, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    listed = materialise(named.mapInArrow(_rarest(percent, shared), "token bigint, node bigint, part bigint, n bigint, at bigint"))
+    per_part = listed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
+    lists = per_part.groupBy("token").agg(F.sum("many").alias("all"), F.max(F.struct("many", "part")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    # all but the largest group of a list look for partners, in slices of bounded size
+    lists = lists.where("parts > 1").select("token", F.col("top.part").alias("home"), F.ceil((F.col("all") - F.col("top.many")) / block).cast("int").alias("slices"))
+    listed = materialise(listed.join(lists, "token"))
+    a = listed.where("part <> home").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).alias("a")
+    b = listed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.slice") == F.col("b.slice")) & F.expr(f"""
+        a.part <> b.part AND (b.part = b.home OR a.node < b.node) AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+        AND {100 + percent} * least(a.n - a.at, b.n - b.at) >= {percent} * (a.n + b.n)"""))
+    pairs = materialise(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        left, right = (large.select(F.col("node").alias(n), F.col(column).alias(c)) for n, c in (("a", "left"), ("b", "right")))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+
+    likely = materialise(beside(pairs, "minima").mapInArrow(_likely(percent), _LINKS))
+    return beside(likely, "shingles").mapInArrow(_confirm(percent), _LINKS)
+
+
 def _grouped(docs: DataFrame, percent: int, words: int, region: int) -> DataFrame:
     """``id, hash, n, root, component`` of every row: the root is unique to a group, null without words; the component is the group's least id."""
     spark = docs.sparkSession
@@ -226,6 +332,9 @@ def _grouped(docs: DataFrame, percent: int, words: int, region: int) -> DataFram
             "label", F.substring(F.col("minima"), F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4)))
         ordered = ordered.repartitionByRange(buckets * 4, "tree", "region", "label", "node").sortWithinPartitions("tree", "region", "label", "node")
         links = links.unionAll(ordered.select("region", "node", "minima", "shingles").mapInPandas(_solve_blocks(percent, region), _LINKS))
+        groups = materialise(components(links))
+        linked = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        links = linked.unionAll(_remaining_links(large, groups, percent, region))
     groups = components(links)
     # the smallest document of a group speaks for it
     named = nodes.select("node", "d1", "d2", "n", "id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -240,7 +349,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, region:
 
     ``component_id`` is the smallest ``doc_id`` of a group, ``kept`` tells whether it is the row's own; ``hash`` (xxhash64 of the text) tells
     rows of one ``doc_id`` apart.  Links are confirmed on full sets.  A pair at the threshold is missed with probability
-    (1 - 0.85^3)^16 = 2e-7; in regions of more than ``region`` nodes it must also be near in some tree's sorted order.
+    (1 - 0.85^3)^16 = 2e-7, in regions of any size; ``region`` says only how many nodes are compared with each other in one task.
 
     Null and empty texts and texts without words have no shingles, are linked with nothing and kept.  Null ``doc_id`` counts as smallest.
     Rows that repeat a ``doc_id`` are separate documents.  An empty table gives no rows.

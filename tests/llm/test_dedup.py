@@ -126,6 +126,22 @@ def test_one_of_each_group_stays(spark):
     assert len([r for r in kept if not fixtures.words_of(r.text)]) == len({(d, t) for d, t in docs if not fixtures.words_of(t)})
 
 
+def test_large_regions_of_boilerplate_equal_brute_force(spark):
+    """A thousand texts share half or four fifths of their words, so labels are alike; two hundred are near copies at little over the threshold."""
+    rng = np.random.default_rng(12)
+    docs = []
+    for own in (60, 25):
+        boilerplate = [f"b{own}x{k}" for k in range(110 if own == 25 else 60)]
+        for i in range(500):
+            words = [f"w{own}x{i}x{k}" for k in range(own)]
+            docs.append((len(docs), " ".join(boilerplate + words)))
+            if i % 5 == 0:  # some words cut off the end
+                changed = words[: -int(rng.integers(10, 18))]
+                docs.append((len(docs), " ".join(boilerplate + changed)))
+    got = near_duplicates(fixtures.frame(spark, docs, 4), region=8).drop("hash").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, fixtures.plain_components(docs, 85)))
+
+
 def test_unlinked_texts_with_null_or_repeated_ids_stay(spark):
     docs = [(d, " ".join(f"{w}{d}{k}{i}" for i in range(9))) for d, w in ((None, "x"), (7, "y")) for k in range(3)] + [(8, "a b c d e f")] * 2
     kept = keep_one(fixtures.frame(spark, docs, 4), 80).select("doc_id", "text").collect()
