@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from tabprofile.llm.quality_rules import apply_rules, learn_rules
 from tabprofile.llm.suffixes import remove_repeats
 from tabprofile.llm.tokens import token_digest
 from tabprofile.llm.topk import quantized, top_k
+from tabprofile.llm.warc import build_index, captures, lookup, read_ranges, write_archives
+from tabprofile.session import storage_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,10 +118,32 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    archives = f"{storage_root(spark)}/tabprofile-{uuid.uuid4().hex}.warc"
+    write_archives(pages, archives)
+    places = lookup(build_index(captures(spark, archives)), pages)
+    return read_ranges(places, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, ((i // 8) * 10 + 1)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM h
+"""
+
+
 _QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_masked_lm": op9_masked_lm, "op10_packing": op10_packing,
+    "op13_warc": op13_warc,
 }
-_SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL}
+_SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL, "op13_warc": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
