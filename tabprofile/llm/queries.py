@@ -14,6 +14,7 @@ from tabprofile.llm.indexing import learn_quality, score_quality
 from tabprofile.llm.masked_lm import learn_model, score_documents
 from tabprofile.llm.minhash import near_duplicates
 from tabprofile.llm.mixing import mix
+from tabprofile.llm.negatives import labelled, mine
 from tabprofile.llm.packing import pack
 from tabprofile.llm.quality_rules import apply_rules, learn_rules
 from tabprofile.llm.suffixes import remove_repeats
@@ -118,6 +119,33 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = labelled(_table(spark, folder, "embeddings"))
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", wrong), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), t AS (SELECT vec_id, label, unnest(e) AS w, generate_subscripts(e, 1) AS i FROM v),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, sum(a.w * c.w)::BIGINT AS score
+  FROM t a JOIN t c ON a.i = c.i AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
 def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     archives = f"{storage_root(spark)}/tabprofile-{uuid.uuid4().hex}.warc"
@@ -141,9 +169,9 @@ FROM h
 
 _QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_masked_lm": op9_masked_lm, "op10_packing": op10_packing,
-    "op13_warc": op13_warc,
+    "op12_negatives": op12_negatives, "op13_warc": op13_warc,
 }
-_SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL, "op13_warc": OP13_SQL}
+_SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL, "op12_negatives": OP12_SQL, "op13_warc": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
