@@ -17,6 +17,7 @@ from tabprofile.llm.mixing import mix
 from tabprofile.llm.negatives import labelled, mine
 from tabprofile.llm.packing import pack
 from tabprofile.llm.quality_rules import apply_rules, learn_rules
+from tabprofile.llm.spelling import variants, word_counts
 from tabprofile.llm.suffixes import remove_repeats
 from tabprofile.llm.tokens import token_digest
 from tabprofile.llm.topk import quantized, top_k
@@ -119,6 +120,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    counts = word_counts(_table(spark, folder, "documents"))
+    return variants(counts, (F.length("word") >= 5) & (F.col("n") >= 3))
+
+
 def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = labelled(_table(spark, folder, "embeddings"))
     wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -169,7 +175,7 @@ FROM h
 
 _QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens, "op2_language": op2_language, "op3_topk": op3_topk, "op4_suffixes": op4_suffixes, "op5_quality_rules": op5_quality_rules, "op6_minhash": op6_minhash, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_masked_lm": op9_masked_lm, "op10_packing": op10_packing,
-    "op12_negatives": op12_negatives, "op13_warc": op13_warc,
+    "op11_spelling": op11_spelling, "op12_negatives": op12_negatives, "op13_warc": op13_warc,
 }
 _SQL = {"op3_topk": OP3_SQL, "op7_mixing": OP7_SQL, "op12_negatives": OP12_SQL, "op13_warc": OP13_SQL}
 
