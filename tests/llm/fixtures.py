@@ -70,7 +70,8 @@ def family(seed=5):
         (i, None), (i + 1, ""), (i + 2, "  \n"), (i + 3, "a b"), (i + 4, "A  b\n"), (None, docs[3][1]), (4, docs[4][1]), (4, docs[4][1]), (5, "zz yy xx")]
 
 
-def plain_components(docs, percent=85):
+def plain_components(docs, percent=85, by_group=False):
+    """Rows of the contract; with ``by_group``, the smallest id of each group of documents with words, once for each group."""
     def shingles(text):
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
         return {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
@@ -92,6 +93,8 @@ def plain_components(docs, percent=85):
     least = {}
     for i, d in enumerate(order):
         least[root(i)] = min(least.get(root(i), d), d)
+    if by_group:
+        return [None if least[g] == -1 else least[g] for g in {root(i) for i in range(len(docs)) if sets[i]}]
     return [(docs[i][0], len(sets[i]), None if least[root(i)] == -1 else least[root(i)], order[i] == least[root(i)]) for i in range(len(docs))]
 
 

@@ -120,8 +120,7 @@ def test_groups_equal_brute_force(spark, options):
 def test_one_of_each_group_stays(spark):
     docs = fixtures.family(seed=9)
     kept = keep_one(fixtures.frame(spark, docs, 4), 80).collect()
-    groups = fixtures.plain_components(docs, 80)
-    with_words = sorted({str(c) for _, n, c, _ in groups if n})
+    with_words = sorted(map(str, fixtures.plain_components(docs, 80, by_group=True)))
     assert sorted(str(r.doc_id) for r in kept if fixtures.words_of(r.text)) == with_words
     assert len([r for r in kept if not fixtures.words_of(r.text)]) == len({(d, t) for d, t in docs if not fixtures.words_of(t)})
 

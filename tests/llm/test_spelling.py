@@ -36,7 +36,7 @@ def plain_variants(counts):
         close = [v for v in counts if near(w, v)]
         best = min(close, key=lambda v: (-counts[v], v), default=None)
         form[w] = best if best is not None and counts[best] >= 2 * n else None
-        out.append([w, form[w], w, n, len(close), counts[best] if form[w] else None])
+        out.append([w, form[w], w, n, len(close), counts[best] if form[w] is not None else None])
     for row in out:
         while form[row[2]] is not None:
             row[2] = form[row[2]]
