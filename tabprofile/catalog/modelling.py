@@ -332,7 +332,7 @@ WITH {_OLS} SELECT o_orderkey AS key, CASE WHEN abs(wa * (a - ma)) >= abs(wb * (
  round(greatest(abs(wa * (a - ma)), abs(wb * (b - mb))), 1) AS size, round(y0 + wa * (ma - a0) + wb * (mb - b0), 3) AS base FROM o, w, c""")
 def shap_rows(spark, d):
     prepared, model = _plain_model(spark, d)
-    rows = X.row_impact(X.attributions(model, prepared.data, prepared.data, "o_orderkey"))
+    rows = X.row_impact(X.by_row(model, prepared.data, prepared.data, "o_orderkey"))
     first = F.col("contributions")[0]
     return rows.select("key", first["feature"].alias("top"), rounded(F.abs(first["phi"]), 1).alias("size"), rounded("base", 3).alias("base"))
 
@@ -353,6 +353,18 @@ def _forest_points(spark, d):
     return result.model, X.explain_model(result.model, prepared)
 
 
+@query("shap_tree_sums", "SELECT count(*) AS explained, count(*) AS adding_up, 'tree' AS method FROM lineitem")
+def shap_tree_sums(spark, d):
+    """Rows whose base and attributions add up to the probability that Spark's own forest gives them, among all rows."""
+    prepared, result = _trained(spark, d, FLAG_TASK, "RandomForestClassifier", {"n_estimators": 10, "max_depth": 4, "random_state": 0})
+    found = X.by_row(result.model, prepared.data, prepared.data, prepared.key)
+    scored = result.model.score_codes(prepared.data).select(F.col(prepared.key).alias("key"), "score")
+    total = F.aggregate("contributions", F.col("base"), lambda s, e: s + e["phi"])
+    return found.join(scored, "key").agg(
+        F.count(F.lit(1)).alias("explained"), F.count_if(F.abs(total - F.col("score")) < 1e-9).alias("adding_up"),
+        F.lit(X.method_of(result.model)).alias("method"))
+
+
 @query("shap_tree")
 def shap_tree(spark, d):
     return _forest_points(spark, d)[1]["impact"]

@@ -106,6 +106,26 @@ def corr_mutual_info(spark, d):
     return _matrix(association.correlation_matrix(read(spark, d, "lineitem").select(*_INFORMATION), "mutual_info"))
 
 
+def _neighbour_information_sql(names, source, k=3):
+    scaled = ", ".join(f"{n} / (SELECT printf('%.10g', stddev_pop({n}))::DOUBLE FROM complete) AS {n}" for n in names)
+    parts = [f"""SELECT '{a}' AS col_a, '{b}' AS col_b, (WITH d AS (SELECT i.rid AS i, j.rid AS j, abs(i.{a} - j.{a}) AS da, abs(i.{b} - j.{b}) AS db FROM scaled i, scaled j),
+ r AS (SELECT i, min(greatest(da, db), {k})[{k}] AS r FROM d WHERE i <> j GROUP BY i),
+ c AS (SELECT i, sum((CASE WHEN r > 0 THEN da < r ELSE da = 0 END)::INT)::BIGINT AS na, sum((CASE WHEN r > 0 THEN db < r ELSE db = 0 END)::INT)::BIGINT AS nb FROM d JOIN r USING (i) GROUP BY i)
+ SELECT greatest(0, (SELECT max(psi) FROM h) + (SELECT psi FROM h WHERE n = {k}) - avg(x.psi + y.psi)) FROM c JOIN h x ON x.n = na JOIN h y ON y.n = nb) AS v"""
+             for a, b in combinations(names, 2)]
+    parts += [f"SELECT '{n}', '{n}', 1.0" for n in names]
+    return f"""WITH complete AS (SELECT row_number() OVER () AS rid, {', '.join(f'{n}::DOUBLE AS {n}' for n in names)} FROM {source} WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}),
+ scaled AS (SELECT rid, {scaled} FROM complete),
+ h AS (SELECT g AS n, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / g) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi FROM range(1, 1 + (SELECT count(*) FROM complete)) t(g)),
+ upper_half AS ({' UNION ALL '.join(parts)}), clean AS (SELECT col_a, col_b, round(v, 6)::DOUBLE AS value FROM upper_half)
+SELECT * FROM clean UNION ALL SELECT col_b AS col_a, col_a AS col_b, value FROM clean WHERE col_a <> col_b"""
+
+
+@query("corr_neighbour_information", _neighbour_information_sql(["c_custkey", "c_nationkey", "c_acctbal"], _CUSTOMER_GAPS))
+def corr_neighbour_information(spark, d):
+    return _matrix(association.correlation_matrix(_customer_gaps(spark, d), "mutual_info_neighbours"))
+
+
 _VARIANCES = ", ".join(f"('{c}', (SELECT var_samp({c}) FROM lineitem))" for c in LINEITEM_NUMERIC)
 
 

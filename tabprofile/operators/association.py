@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from tabprofile.functions.frames import (
     as_double, chunks, col, normalise, numeric_columns, per_column, scalars, small_or_same, union_all, value_counts,
 )
-from tabprofile.functions.sampling import ordered_totals
+from tabprofile.functions.sampling import ordered_totals, with_point_id
 from tabprofile.functions.stats import correlation, exact_quantiles
+from tabprofile.operators.neighbours import nearest_neighbours
 from tabprofile.session import materialise, shuffle_partitions
 
-METHODS = ("pearson", "spearman", "kendall", "mutual_info")
+METHODS = ("pearson", "spearman", "kendall", "mutual_info", "mutual_info_neighbours")
 MAX_COLUMNS = 50
 # Up to this many sums the matrix is a set of built-in aggregates, beyond it a matrix product.
 TERMS_PER_AGGREGATE = 200
@@ -55,7 +56,7 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", limit: int | None
     names = numeric_columns(df) if limit is None else correlation_columns(df, limit)[0]
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], _EMPTY)
-    build = {"pearson": pearson, "spearman": spearman, "kendall": kendall, "mutual_info": mutual_information}
+    build = {"pearson": pearson, "spearman": spearman, "kendall": kendall, "mutual_info": mutual_information, "mutual_info_neighbours": neighbour_information}
     return build[method](df, names)
 
 
@@ -340,6 +341,95 @@ def kendall(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return _both_ways(upper.unionByName(diagonal))
 
 
+def digamma(n: Column) -> Column:
+    """The logarithmic derivative of the gamma function at whole numbers from 1: ten steps up, then its asymptotic series."""
+    shift = 10
+    z = n + F.lit(float(shift))
+    steps = sum((F.lit(1.0) / (n + F.lit(float(j))) for j in range(shift)), F.lit(0.0))
+    square = F.lit(1.0) / (z * z)
+    tail = square * (F.lit(1 / 12) - square * (F.lit(1 / 120) - square * (F.lit(1 / 252) - square * (F.lit(1 / 240) - square * F.lit(1 / 132)))))
+    return F.log(z) - F.lit(0.5) / z - tail - steps
+
+
+def _interval(value, radius):
+    """The least and largest numbers whose difference from ``value`` is below ``radius`` as floats are subtracted (all at 0: the value).
+
+    Found by halving over the floats in their order, as sums round elsewhere than differences do, most of all beside 0.
+    """
+    import numpy as np
+
+    least = np.int64(-1 << 63)
+
+    def place(x):  # whole numbers in the order of floats; negative floats count down
+        bits = np.asarray(x + 0.0).view(np.int64)
+        return np.where(bits < 0, least - bits, bits)
+
+    def number(place):
+        return np.where(place < 0, least - place, place).view(np.float64)
+
+    ends = []
+    for sign in (-1.0, 1.0):
+        inside, outside = place(value), place(value + sign * (2.0 * radius + np.spacing(np.abs(value))))
+        for _ in range(64):
+            middle = inside // 2 + outside // 2 + (inside % 2 + outside % 2) // 2
+            near = np.abs(number(middle) - value) < radius
+            inside, outside = np.where(near, middle, inside), np.where(near, outside, middle)
+        ends.append(np.where(radius > 0, number(inside), value))
+    return ends
+
+
+def neighbour_information(df: DataFrame, names: Sequence[str], neighbours: int = 3) -> DataFrame:
+    """Mutual information (nats) by nearest neighbours over complete rows (Kraskov, Stoegbauer and Grassberger); 1 on the diagonal.
+
+    Columns are divided by their deviation, taken to ten digits so that equal steps stay equal however sums were added.  A row's radius is the distance of its k-th neighbour in the plane of a pair, by the larger
+    of both differences; on each axis the rows nearer than that are counted, itself included.  Ties are taken as they are: at radius 0
+    the equal values count.  The estimate is psi(n) + psi(k) minus the mean of psi over both counts, and at least 0.
+
+    All pairs are searched in one go: a pair is a further axis on which pairs lie farther apart than any two rows.  Counts on an axis are
+    running totals over one ordering of the values and both ends of every interval, cut into slices of ranges.  With ``neighbours`` or
+    fewer complete rows every pair has 0.
+    """
+    import pandas as pd
+
+    complete = df.select(*[as_double(df, n).alias(f"x{i}") for i, n in enumerate(names)])
+    complete = complete.where(sum((F.col(c).isNull().cast("int") for c in complete.columns), F.lit(0)) == 0)
+    facts = complete.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in complete.columns for f in (F.stddev_pop, F.min, F.max)]).first()
+    spark, rows = df.sparkSession, facts["n"]
+    pairs = list(combinations(range(len(names)), 2))
+    diagonal = spark.createDataFrame([(n, n, 1.0) for n in names], _EMPTY)
+    labels = spark.createDataFrame([(p, names[i], names[j]) for p, (i, j) in enumerate(pairs)], "pair int, col_a string, col_b string")
+    if rows <= neighbours:
+        return _both_ways(labels.select("col_a", "col_b", F.lit(0.0).alias("value")).unionByName(diagonal))
+    scale = {c: float(f"{facts[f'stddev_pop_{c}']:.10g}") or 1.0 for c in complete.columns}
+    apart = 4.0 * (1.0 + max((facts[f"max_{c}"] - facts[f"min_{c}"]) / scale[c] for c in complete.columns))
+    planes = complete.select(F.inline(F.array(*[
+        F.struct(F.lit(p).alias("pair"), (F.col(f"x{i}") / F.lit(scale[f"x{i}"])).alias("a"), (F.col(f"x{j}") / F.lit(scale[f"x{j}"])).alias("b"))
+        for p, (i, j) in enumerate(pairs)])))
+    points = with_point_id(planes.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n")), None)
+    near = nearest_neighbours(
+        points.select("id", F.array(F.col("pair") * F.lit(apart), "a", "b").alias("x"), "n"), neighbours, metric="max")
+    radius = near.groupBy("id").agg(F.max("distance").alias("radius"))
+    axes = points.join(radius, "id").select("id", "pair", "n", "radius", F.posexplode(F.array("a", "b")).alias("axis", "value"))
+
+    def ends(batches):
+        for batch in batches:
+            low, high = _interval(batch["value"].to_numpy(), batch["radius"].to_numpy())
+            yield pd.DataFrame({
+                "pair": batch["pair"], "axis": batch["axis"], "id": batch["id"], "n": batch["n"], "value": batch["value"], "low": low, "high": high})
+
+    reach = axes.mapInPandas(ends, "pair int, axis int, id bigint, n bigint, value double, low double, high double")
+    # an interval begins before and ends behind the rows at its ends
+    events = reach.select("pair", "axis", "id", "n", F.inline(F.array(*[
+        F.struct(F.col(c).alias("at"), F.lit(kind).alias("kind")) for kind, c in enumerate(("low", "value", "high"))])))
+    totals = ordered_totals(events, ["pair", "axis"], ["at", "kind", "id"], F.when(F.col("kind") == 1, F.col("n")).otherwise(0), "before")
+    inside = totals.where("kind <> 1").groupBy("pair", "axis", "id").agg(
+        F.sum(F.when(F.col("kind") == 2, F.col("before")).otherwise(-F.col("before"))).alias("inside"), F.first("n").alias("n"))
+    mean = inside.groupBy("pair").agg((F.sum(digamma(F.col("inside")) * F.col("n")) / F.lit(float(rows))).alias("m"))
+    upper = labels.join(mean, "pair").select("col_a", "col_b", F.greatest(
+        F.lit(0.0), digamma(F.lit(rows)) + digamma(F.lit(neighbours)) - F.col("m")).alias("value"))
+    return _both_ways(upper.unionByName(diagonal))
+
+
 def mutual_information(df: DataFrame, names: Sequence[str], bins: int = INFORMATION_BINS) -> DataFrame:
     """Mutual information (nats) of equal-frequency bins over complete rows; 1 on the diagonal.
 

@@ -47,14 +47,15 @@ class Boxes:
             goes_left = x[inner, self.dim[at]] <= self.cut[at]
             node[inner] = np.where(goes_left, self.left[at], self.right[at])
 
-    def touching(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def touching(self, x: np.ndarray, radius: np.ndarray, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs whose box comes within the row's radius."""
         row, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
         rows, leaves = [], []
         while len(row):
             gap = np.maximum(np.maximum(self.low[node] - x[row], x[row] - self.high[node]), 0.0)
             # a hair of slack so that rounding cannot exclude a box that is exactly in reach
-            near = np.sqrt((gap * gap).sum(1)) <= radius[row] * (1 + 1e-9)
+            away = np.sqrt((gap * gap).sum(1)) if metric == "euclidean" else gap.max(1)
+            near = away <= radius[row] * (1 + 1e-9)
             row, node = row[near], node[near]
             done = self.dim[node] < 0
             rows.append(row[done])
@@ -99,17 +100,21 @@ def _layout(sample: np.ndarray, boxes: int) -> Boxes:
     return Boxes(*[np.array(v) for v in (dim, cut, left, right, leaf)])
 
 
-def _nearest(qx, qid, px, pid, pn, k: int):
+def _nearest(qx, qid, px, pid, pn, k: int, metric: str = "euclidean"):
     """For each query the closest points of one box, enough to cover k copies: (query, point, distance, copies)."""
     out_q, out_p, out_d, out_n = [], [], [], []
     step = max(1, 4_000_000 // max(len(px), 1))
     for start in range(0, len(qx), step):
         x, ids = qx[start : start + step], qid[start : start + step]
-        square = np.zeros((len(x), len(px)))
+        distance = np.zeros((len(x), len(px)))
         for j in range(px.shape[1]):
             diff = x[:, j, None] - px[None, :, j]
-            square += diff * diff
-        distance = np.sqrt(square)
+            if metric == "euclidean":
+                distance += diff * diff
+            else:
+                np.maximum(distance, np.abs(diff), out=distance)
+        if metric == "euclidean":
+            np.sqrt(distance, out=distance)
         copies = np.where(ids[:, None] == pid[None, :], pn[None, :] - 1, pn[None, :])
         distance = np.where(copies > 0, distance, np.inf)
         take = min(k, len(px))
@@ -130,8 +135,8 @@ def _nearest(qx, qid, px, pid, pn, k: int):
     return [np.concatenate(v) if v else np.array([]) for v in (out_q, out_p, out_d, out_n)]
 
 
-def nearest_neighbours(points: DataFrame, k: int, points_per_box: int = POINTS_PER_BOX) -> DataFrame:
-    """``id, other, distance, copies`` of the k nearest neighbours of every point.
+def nearest_neighbours(points: DataFrame, k: int, points_per_box: int = POINTS_PER_BOX, metric: str = "euclidean") -> DataFrame:
+    """``id, other, distance, copies`` of the k nearest neighbours of every point; ``metric`` may be ``max``, the largest difference.
 
     ``points`` has a unique ``id`` (bigint), ``x`` (array of doubles, no nulls) and ``n``, how many
     equal rows the point stands for.  A point's own further copies are its neighbours at distance
@@ -162,7 +167,7 @@ def nearest_neighbours(points: DataFrame, k: int, points_per_box: int = POINTS_P
         import pandas as pd
 
         x, ids, n = np.stack(group["x"].to_numpy()), group["id"].to_numpy(), group["n"].to_numpy()
-        q, _, d, copies = _nearest(x, ids, x, ids, n, k)
+        q, _, d, copies = _nearest(x, ids, x, ids, n, k, metric)
         radius = pd.DataFrame({"id": q, "d": d, "c": copies}).groupby("id").agg(d=("d", "max"), c=("c", "sum"))
         full = radius["d"].where(radius["c"] >= k, np.inf).reindex(ids, fill_value=np.inf)
         return pd.DataFrame({"id": ids, "x": list(x), "radius": full.to_numpy()})
@@ -175,7 +180,7 @@ def nearest_neighbours(points: DataFrame, k: int, points_per_box: int = POINTS_P
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["x"].to_numpy())
-                row, leaf = tree.touching(x, batch["radius"].to_numpy())
+                row, leaf = tree.touching(x, batch["radius"].to_numpy(), metric)
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "x": list(x[row]), "box": leaf.astype("int32")})
 
     asked = searched.mapInPandas(spread, "id bigint, x array<double>, box int")
@@ -197,7 +202,7 @@ def nearest_neighbours(points: DataFrame, k: int, points_per_box: int = POINTS_P
             return pd.DataFrame({"id": [], "other": [], "distance": [], "copies": []})
         q, p, d, n = _nearest(
             np.stack(queries["x"].to_numpy()), queries["id"].to_numpy(),
-            np.stack(pts["x"].to_numpy()), pts["id"].to_numpy(), pts["n"].to_numpy(), k)
+            np.stack(pts["x"].to_numpy()), pts["id"].to_numpy(), pts["n"].to_numpy(), k, metric)
         return pd.DataFrame({"id": q, "other": p, "distance": d, "copies": n})
 
     found = asked.groupBy("box", "share").cogroup(served.groupBy("box", "share")).applyInPandas(

@@ -1,21 +1,23 @@
-"""Attribution of predictions to features, for all rows or chosen ones, as long tables.
+"""Attribution of predictions to features, for all rows or chosen ones.
 
-A row's attributions and its base value add up to the model's output.  Linear models have a closed
-form.  Any other model is asked: along random feature orders a row's values replace those of a
-background row one by one, and each change of the output is credited to the feature replaced.  The
-mixed rows are ordinary rows scored by the model in parallel.
+A row's attributions and its base value add up to the model's output.  Linear models have a closed form and trees an exact one, both over
+all rows.  Any other model is asked: along random feature orders a row's values replace those of a background row one by one, and each
+change of the output is credited to the feature replaced.  The mixed rows are ordinary rows scored by the model in parallel.
+
+Rows are kept with one array of contributions each; long tables of one row per feature are spelled out from them only where asked for.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import col, require_columns
 from tabprofile.functions.sampling import hash_sample, unit_hash
 from tabprofile.operators.metrics import regression_metrics
 from tabprofile.plans.training import FittedModel, Prepared
+from tabprofile.plans.trees import can_flatten, tree_attributions
 from tabprofile.session import materialise
 
 BACKGROUND_ROWS = 100
@@ -28,17 +30,37 @@ def method_of(model: FittedModel) -> str:
     m = model.model
     if hasattr(m, "coefficientMatrix") or hasattr(m, "coefficients"):
         return "linear"
-    return "tree" if hasattr(m, "featureImportances") else "sampled"
+    return "tree" if can_flatten(m) else "sampled"
 
 
-def attributions(model: FittedModel, rows: DataFrame, background: DataFrame, key: str, orders: int = ORDERS) -> DataFrame:
-    """``key, feature, value, phi, base, output`` with one row per explained row and feature.
+def by_row(model: FittedModel, rows: DataFrame, background: DataFrame, key: str, orders: int = ORDERS) -> DataFrame:
+    """``key, contributions, base, output`` with one row per explained row; contributions are (feature, value, phi).
 
-    Two classes: the positive class.  More classes: mean size of phi over the classes, and no
-    single output.
+    Two classes: the positive class, on the log-odds scale for linear and boosted models.  More classes: mean size of phi over the
+    classes, and no single output.  The background counts for linear and sampled models; trees carry their own shares of training rows.
     """
     require_columns(rows, [key])
-    return (_linear if method_of(model) == "linear" else _sampled)(model, rows, background, key, orders)
+    method = method_of(model)
+    if method == "tree":
+        found, base = tree_attributions(model.model, _features(model, rows).select(col(key).alias("key"), "x"))
+        return found.select("key", _contributions(model, F.col("x"), F.col("phi")), F.lit(base).alias("base"), "output")
+    return (_linear if method == "linear" else _sampled)(model, rows, background, key, orders)
+
+
+def attributions(model: FittedModel, rows: DataFrame, background: DataFrame, key: str, orders: int = ORDERS) -> DataFrame:
+    """``key, feature, value, phi, base, output`` with one row per explained row and feature; see :func:`by_row`."""
+    return spelled_out(by_row(model, rows, background, key, orders))
+
+
+def spelled_out(found: DataFrame) -> DataFrame:
+    return found.select("key", F.explode("contributions").alias("e"), "base", "output").select(
+        "key", "e.feature", "e.value", "e.phi", "base", "output")
+
+
+def _contributions(model: FittedModel, values: Column, phis: Column) -> Column:
+    names = F.array(*[F.lit(n) for n in model.preprocessor.feature_names])
+    return F.zip_with(F.arrays_zip(names.alias("feature"), values.alias("value")), phis, lambda e, p: F.struct(
+        e["feature"].alias("feature"), e["value"].alias("value"), p.alias("phi"))).alias("contributions")
 
 
 def _features(model: FittedModel, df: DataFrame) -> DataFrame:
@@ -66,8 +88,7 @@ def _linear(model: FittedModel, rows: DataFrame, background: DataFrame, key: str
     output = sum((F.lit(w) * F.col("x")[i] for i, w in enumerate(weights[0])), F.lit(intercepts[0])) if single else F.lit(None)
     base = F.lit(bases[0] if single else sum(bases) / len(bases))
     return scored.select(
-        col(key).alias("key"), F.explode(F.array(*entries)).alias("e"), base.alias("base"), output.cast("double").alias("output"),
-    ).select("key", "e.feature", "e.value", "e.phi", "base", "output")
+        col(key).alias("key"), F.array(*entries).alias("contributions"), base.alias("base"), output.cast("double").alias("output"))
 
 
 def _outputs(model: FittedModel, df: DataFrame) -> DataFrame:
@@ -118,9 +139,11 @@ def _sampled(model: FittedModel, rows: DataFrame, background: DataFrame, key: st
     reduced = averaged.groupBy("key", "i").agg(
         (F.sum("phi") if single else F.avg(F.abs("phi"))).alias("phi"), F.first("value").alias("value"))
     labels = F.array(*[F.lit(n) for n in names])
-    return reduced.join(ends, "key").select(
-        "key", labels[F.col("i")].alias("feature"), "value", "phi", "base",
-        (F.col("output") if single else F.lit(None).cast("double")).alias("output"))
+    entry = F.struct("i", labels[F.col("i")].alias("feature"), "value", "phi")
+    gathered = reduced.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("e"))  # one short list: a row's features
+    return gathered.join(ends, "key").select(
+        "key", F.transform("e", lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value"), e["phi"].alias("phi"))).alias("contributions"),
+        "base", (F.col("output") if single else F.lit(None).cast("double")).alias("output"))
 
 
 def global_impact(long: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
@@ -132,36 +155,50 @@ def global_impact(long: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
     )
 
 
-def row_impact(long: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
-    """Per row its base value and the ``top`` largest contributions, largest first."""
-    entry = F.struct((-F.abs("phi")).alias("o"), F.col("feature"), F.round("phi", 6).alias("phi"))
-    ranked = long.groupBy("key").agg(F.round(F.first("base"), 6).alias("base"), F.array_sort(F.collect_list(entry)).alias("e"))
-    return ranked.select("key", "base", F.transform(F.slice("e", 1, top), lambda e: F.struct(
+def row_impact(found: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
+    """Per row its base value and the ``top`` largest contributions, largest first, of :func:`by_row` or a long table."""
+    if "contributions" not in found.columns:
+        found = found.groupBy("key").agg(F.first("base").alias("base"), F.collect_list(F.struct("feature", "value", "phi")).alias("contributions"))
+    ranked = F.array_sort(F.transform("contributions", lambda e: F.struct(
+        (-F.abs(e["phi"])).alias("o"), e["feature"].alias("feature"), F.round(e["phi"], 6).alias("phi"))))
+    return found.select("key", F.round("base", 6).alias("base"), F.transform(F.slice(ranked, 1, top), lambda e: F.struct(
         e["feature"].alias("feature"), e["phi"].alias("phi"))).alias("contributions"))
 
 
-def fidelity(long: DataFrame, model: FittedModel) -> float | None:
+def fidelity(found: DataFrame, model: FittedModel) -> float | None:
     """R squared between the model's output and base + attributions; none for several classes.
 
     Where probabilities are explained on the log-odds scale the sum is brought back first.
     """
     if model.classes is not None and len(model.classes) != 2:
         return None
-    sums = long.groupBy("key").agg((F.first("base") + F.sum("phi")).alias("prediction"), F.first("output").alias("label"))
-    if model.classes is not None and method_of(model) == "linear":
+    if "contributions" in found.columns:
+        phi = F.aggregate("contributions", F.lit(0.0), lambda s, e: s + e["phi"])
+        sums = found.select((F.col("base") + phi).alias("prediction"), F.col("output").alias("label"))
+    else:
+        sums = found.groupBy("key").agg((F.first("base") + F.sum("phi")).alias("prediction"), F.first("output").alias("label"))
+    if model.classes is not None and (method_of(model) == "linear" or type(model.model).__name__.startswith("GBT")):
         squash = lambda c: 1 / (1 + F.exp(-F.col(c)))
         sums = sums.select(squash("prediction").alias("prediction"), squash("label").alias("label"))
     return regression_metrics(sums).first()["r2"]
 
 
-def explain_model(model: FittedModel, prepared: Prepared, rows: int = BACKGROUND_ROWS) -> dict:
-    """The global picture of a model; a model that cannot be explained says so instead of failing."""
+def explain_model(model: FittedModel, prepared: Prepared, rows: int | None = None) -> dict:
+    """The global picture of a model; a model that cannot be explained says so instead of failing.
+
+    Linear and tree models are explained over all rows unless ``rows`` asks for a sample; models that have to be asked over
+    :data:`BACKGROUND_ROWS`, as each row costs them many predictions.  ``points`` is spelled out from the stored rows when it is read.
+    """
     try:
-        background = hash_sample(prepared.data, prepared.key, rows, "explain")
-        long = materialise(attributions(model, background, prepared.data if method_of(model) == "linear" else background, prepared.key))
-        return {"method": method_of(model), "impact": global_impact(long), "fidelity": fidelity(long, model), "points": long, "note": None}
+        method = method_of(model)
+        if method == "sampled" and rows is None:
+            rows = BACKGROUND_ROWS
+        some = prepared.data if rows is None else hash_sample(prepared.data, prepared.key, rows, "explain")
+        found = materialise(by_row(model, some, prepared.data if method == "linear" else some, prepared.key))
+        return {"method": method, "impact": global_impact(spelled_out(found)), "fidelity": fidelity(found, model), "points": spelled_out(found),
+                "rows": found, "note": None}
     except Exception as problem:
-        return {"method": "unavailable", "impact": None, "fidelity": None, "points": None,
+        return {"method": "unavailable", "impact": None, "fidelity": None, "points": None, "rows": None,
                 "note": f"explanation unavailable for this model: {problem}"}
 
 
@@ -177,5 +214,5 @@ def local_example(model: FittedModel, prepared: Prepared, seed: int = 0) -> Data
     size = prepared.test.agg(F.count(F.lit(1))).scalar()
     chosen = materialise(prepared.test.orderBy(unit_hash(key, f"{seed}-"), col(key)).limit(1))
     scored = model.score_codes(chosen).select(col(key).alias("key"), F.col("label").alias("actual"), "prediction")
-    impact = row_impact(attributions(model, chosen, prepared.train, key))
+    impact = row_impact(by_row(model, chosen, prepared.train, key))
     return scored.join(impact, "key").select("key", "actual", "prediction", "base", "contributions", size.alias("test_size"))

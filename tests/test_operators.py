@@ -1,6 +1,7 @@
 """Operators against small frames with known answers."""
 
 import datetime
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -210,6 +211,45 @@ def test_mutual_information_of_few_rows_is_zero(spark):
     assert found["x", "y"] == 0.0 and found["x", "x"] == 1.0
 
 
+@pytest.mark.parametrize("points_per_box", [20, 2000])
+def test_neighbour_information_equals_brute_force(spark, monkeypatch, points_per_box):
+    monkeypatch.setattr(association, "nearest_neighbours", lambda *a, **k: neighbours.nearest_neighbours(*a, points_per_box=points_per_box, **k))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=500)
+    data = pd.DataFrame({"x": x, "y": (x + rng.normal(size=500)).round(1), "z": rng.integers(0, 4, 500).astype(float), "c": 2.5})
+    data.loc[::50, "y"] = None
+    found = matrix(association.correlation_matrix(spark.createDataFrame(data), "mutual_info_neighbours"))
+    full = data.dropna()
+    n, k = len(full), 3
+    psi = np.r_[np.nan, -np.euler_gamma + np.r_[0.0, np.cumsum(1 / np.arange(1, n))]]
+    scaled = {c: full[c].to_numpy() / (float(f"{full[c].std(ddof=0):.10g}") or 1.0) for c in full}
+    for a, b in combinations(full.columns, 2):
+        da, db = (np.abs(scaled[c][:, None] - scaled[c][None, :]) for c in (a, b))
+        plane = np.maximum(da, db)
+        np.fill_diagonal(plane, np.inf)
+        r = np.sort(plane, axis=1)[:, k - 1][:, None]
+        counts = [np.where(r > 0, d < r, d == 0).sum(1) for d in (da, db)]
+        want = max(0.0, psi[n] + psi[k] - (psi[counts[0]] + psi[counts[1]]).mean())
+        assert found[a, b] == pytest.approx(want, abs=1e-9) and found[b, a] == found[a, b] and found[a, a] == 1.0
+    assert found["x", "y"] > 0.2 > found["x", "z"]
+
+
+def test_intervals_hold_what_subtraction_holds():
+    rng = np.random.default_rng(9)
+    value = np.r_[rng.normal(size=500), -0.3, 0.0, 1e9, -1e-300].astype(float)
+    radius = np.abs(np.r_[-value[:250] + rng.integers(-2, 3, 250) * 1e-17, rng.normal(size=250), 0.3, 0.1, 1e-3, 0.0])
+    low, high = association._interval(value, radius)
+    for v, r, a, b in zip(value, radius, low, high):
+        for end, out in ((a, -np.inf), (b, np.inf)):
+            beyond = np.nextafter(end, out)
+            assert (abs(end - v) < r and not abs(beyond - v) < r) or (r == 0 and end == v)
+
+
+def test_neighbour_information_of_few_rows_is_zero(spark):
+    found = matrix(association.correlation_matrix(frame(spark, x=[1.0, 2.0, 3.0], y=[2.0, 1.0, 5.0]), "mutual_info_neighbours"))
+    assert found["x", "y"] == 0.0 and found["x", "x"] == 1.0
+
+
 def test_unknown_method_and_single_column(spark):
     with pytest.raises(ValueError):
         association.correlation_matrix(spark.range(3), "other")
