@@ -230,6 +230,27 @@ def cv_metrics(spark, d):
     return T.summarise_folds(found)
 
 
+_RIDGE_FOLDS = f"""WITH t AS (SELECT o_orderkey, o_custkey::DOUBLE AS a, dayofyear(o_orderdate)::DOUBLE AS b, o_totalprice AS y FROM orders WHERE {_U} < 0.8),
+r AS (SELECT *, row_number() OVER (ORDER BY {_UF}, o_orderkey) AS r, count(*) OVER () AS n FROM t),
+f AS (SELECT a, b, y, len(list_filter(range(1, 3), lambda i: r > floor(n * i / 3.0)))::INT AS fold FROM r),
+m AS (SELECT k.fold, count(*) AS n, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb, avg(y) AS y0, avg(a) AS a0, avg(b) AS b0
+  FROM f JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold GROUP BY k.fold),
+p AS (SELECT *, aa + 1000.0 / n AS pa, bb + 1000.0 / n AS pb FROM m),
+w AS (SELECT *, (ya * pb - yb * ab) / (pa * pb - ab * ab) AS wa, (yb * pa - ya * ab) / (pa * pb - ab * ab) AS wb FROM p),
+e AS (SELECT fold, f.y, y0 + wa * (f.a - a0) + wb * (f.b - b0) AS g FROM f JOIN w USING (fold)),
+s AS (SELECT fold, sqrt(avg((y - g) ** 2)) AS rmse, avg(abs(y - g)) AS mae, 1 - avg((y - g) ** 2) / var_pop(y) AS r2 FROM e GROUP BY fold)"""
+
+
+@query("cv_ridge", f"""{_RIDGE_FOLDS} SELECT metric, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM (
+ SELECT 'rmse' AS metric, rmse AS value FROM s UNION ALL SELECT 'mae', mae FROM s UNION ALL SELECT 'r2', r2 FROM s) GROUP BY metric""")
+def cv_ridge(spark, d):
+    prepared, _ = _plain_model(spark, d)
+    _, found, note = T.cross_validate(prepared, prepared.features, [], "Ridge", {"alpha": 1000.0}, folds=3)
+    if found is None:
+        raise RuntimeError(note)
+    return T.summarise_folds(found).select("metric", rounded("mean", 4).alias("mean"), rounded("std", 4).alias("std"))
+
+
 @query("tune_history")
 def tune_history(spark, d):
     prepared = _prepared(spark, d, PRICE_TASK)

@@ -256,6 +256,88 @@ def test_selection_keeps_informative_features(spark):
     assert info["enabled"] and info["basic_model"] == "Ridge" and {"x0", "x1"} <= set(info["selected_features"])
 
 
+def _numbers(spark, n=400, time=False):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 6)) * [1, 100, 0.01, 1, 5, 1] + [0, 1e6, 3, -2, 0, 7]
+    y = 3 * x[:, 0] + 0.05 * x[:, 1] - 200 * x[:, 2] + rng.normal(size=n)
+    data = pd.DataFrame({"id": np.arange(n), "y": y, **{f"x{i}": x[:, i] for i in range(6)}, "flat": 4.0})
+    data.loc[::7, "x0"] = None
+    data.loc[::11, "x3"] = None
+    if time:
+        data["at"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 10_000, n), unit="h")
+    return spark.createDataFrame(data)
+
+
+def _fold_by_fold(data, features, penalty, time):
+    """Each fold prepared and solved on its own: x0 filled by its mean, all but x2 and x5 scaled."""
+    out = {}
+    folds = sorted(set(data["fold"]))[1 if time else 0:]
+    for i, f in enumerate(folds):
+        train, test = data[data["fold"] < f if time else data["fold"] != f], data[data["fold"] == f]
+
+        def ready(rows):
+            x = np.zeros((len(rows), len(features)))
+            for k, c in enumerate(features):
+                v = rows[c].to_numpy(float)
+                base = train[c].to_numpy(float)
+                if c == "x0":
+                    v, base = (np.where(np.isnan(u), np.nanmean(base), u) for u in (v, base))
+                if c not in ("x2", "x5"):
+                    v = (v - np.nanmean(base)) / (np.nanstd(base) or 1.0)
+                x[:, k] = np.where(np.isnan(v), 0.0, v)
+            return x
+
+        x, y = ready(train), train["label"].to_numpy()
+        xc = x - x.mean(0)
+        w = np.linalg.lstsq(np.r_[xc, np.sqrt(penalty) * np.eye(len(features))], np.r_[y - y.mean(), np.zeros(len(features))], rcond=None)[0]
+        error = test["label"].to_numpy() - (y.mean() + (ready(test) - x.mean(0)) @ w)
+        out |= {(i, "rmse"): np.sqrt((error ** 2).mean()), (i, "mae"): np.abs(error).mean(), (i, "r2"): 1 - (error ** 2).mean() / test["label"].var(ddof=0)}
+    return out
+
+
+@pytest.mark.parametrize("time", [False, True])
+@pytest.mark.parametrize("estimator, params", [("Ridge", {"alpha": 50.0}), ("Ridge", {}), ("LinearRegression", {})])
+def test_folds_from_sums_equal_separate_fits(spark, monkeypatch, estimator, params, time):
+    task = TaskSpec("regression", "y", "rmse", time_column="at" if time else None)
+    prepared = training.prepare(_numbers(spark, time=time), task, key="id")
+    steps = [FeatureStep("impute", ("x0",), {"strategy": "mean"}), FeatureStep("scale", ("x0", "x1", "x3", "x4", "flat"), {"method": "standard"})]
+    features = [f for f in prepared.features if f.startswith("x")] + (["flat"] if estimator == "Ridge" else [])
+    rounds = training._rounds(prepared, 3)
+    used, found, note = training.cross_validate(prepared, features, steps, estimator, params, rounds=rounds)
+    assert used == 3 and note is None
+    monkeypatch.setattr(training, "closed_form", lambda *a: None)
+    _, plain, _ = training.cross_validate(prepared, features, steps, estimator, params, rounds=rounds)
+    got, near = ({(r.fold, r.metric): r.value for r in f.collect()} for f in (found, plain))
+    want = _fold_by_fold(rounds[0].toPandas(), features, params.get("alpha", 1.0) if estimator == "Ridge" else 0.0, time)
+    assert got.keys() == want.keys() == near.keys() and len(got) == 9
+    for k in got:
+        assert got[k] == pytest.approx(want[k], rel=1e-8) and got[k] == pytest.approx(near[k], rel=1e-3)  # Spark iterates
+
+
+def test_elimination_from_sums_equals_separate_fits(spark, monkeypatch):
+    prepared = training.prepare(_numbers(spark), TaskSpec("regression", "y", "rmse"), key="id")
+    steps = [FeatureStep("scale", tuple(f"x{i}" for i in range(6)), {"method": "standard"})]
+    read = []
+    monkeypatch.setattr(training, "fold_sums", lambda *a, f=training.fold_sums: read.append(1) or f(*a))
+    quick = training.select_features(prepared, steps)
+    monkeypatch.setattr(training, "closed_form", lambda *a: None)
+    plain = training.select_features(prepared, steps)
+    assert quick["note"] is None and len(read) == 1 and quick["selected_features"] == plain["selected_features"]
+    assert [k for k, _ in quick["history"]] == [k for k, _ in plain["history"]]
+    assert [s for _, s in quick["history"]] == pytest.approx([s for _, s in plain["history"]], rel=1e-4)
+
+
+def test_plans_beyond_sums_are_fitted_fold_by_fold(spark):
+    df = _numbers(spark)
+    median = [FeatureStep("impute", ("x0",), {"strategy": "median"})]
+    assert training.closed_form(df, ["x0", "x1"], median, "Ridge", {}) is None
+    assert training.closed_form(df, ["x0"], [], "Ridge", {"tol": 1}) is None and training.closed_form(df, ["x0"], [], "LogisticRegression", {}) is None
+    assert training.closed_form(df, ["x0"], [], "Ridge", {"alpha": 2}) == 2.0
+    empty = training.prepare(df.withColumn("x5", F.lit(None).cast("double")), TaskSpec("regression", "y", "rmse"), key="id")
+    used, found, note = training.cross_validate(empty, ["x0", "x1", "x5"], [FeatureStep("impute", ("x5",), {"strategy": "mean"})], "Ridge", {}, folds=3)
+    assert used == 3 and note is None and found.count() == 9
+
+
 def test_frame_without_a_key_gets_a_stored_one(spark):
     data = pd.DataFrame({"x": np.arange(40.0), "y": np.arange(40.0) * 2})
     prepared = training.prepare(spark.createDataFrame(data), TaskSpec("regression", "y"))
