@@ -148,7 +148,9 @@ def column_profile(
         # distinct counts and top values read the same counts per value
         counts = value_counts(df, counted)
         uniques = union_all([f.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")) for f in counts]).withColumn("is_approx", F.lit(False))
-        found = fetched(uniques.join(_top_arrays(counts), "column", "left"))
+        if listed:
+            tops = _top_arrays([f.where(F.col("column").isin(listed)) for f in counts])
+        found = fetched(uniques.join(tops, "column", "left"))
         uniques, tops = found.select("column", "n_unique", "is_approx"), found.where(F.col("column").isin(listed)).select("column", "top_values")
     elif counted:
         uniques = distinct_counts(df, counted, exact=False)

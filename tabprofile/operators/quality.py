@@ -14,7 +14,7 @@ from tabprofile.functions.frames import (
 from tabprofile.functions.sampling import ordered_totals
 from tabprofile.operators.association import pearson
 from tabprofile.operators.columns import edges_reached
-from tabprofile.operators.profile import column_profile, top_values
+from tabprofile.operators.profile import column_basics
 
 # Thresholds of the quality rules.
 NEAR_CONSTANT_SHARE = 0.95
@@ -161,9 +161,14 @@ def quality_issues(df: DataFrame) -> DataFrame:
     """``column, issue, value`` for each rule a column breaks."""
     df = normalise(df)
     plain = [c for c in df.columns if not is_nested(type_of(df, c))]
-    p = column_profile(df, pii={})
-    best = top_values(df, plain, 1).select("column", F.col("count").alias("best"))
-    p = p.join(best, "column", "left").withColumn("present", F.col("row_count") * (1 - F.col("null_rate")))
+    # one count per value tells distinct values, the most frequent one and how many there are
+    counted = union_all([f.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("best"), F.sum("n").alias("present")) for f in value_counts(df, plain)]) if plain else None
+    p = column_basics(df)
+    if counted is None:
+        p = p.withColumns({"n_unique": F.lit(0).cast("bigint"), "best": F.lit(None).cast("bigint"), "present": F.lit(None).cast("bigint")})
+    else:
+        p = p.join(counted, "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("bigint")))
     share, unique = F.try_divide("best", "present"), F.try_divide("n_unique", "row_count")
     texts = [c for c in df.columns if is_string(type_of(df, c))]
     rules = [
