@@ -53,6 +53,18 @@ def test_mark_of_a_crowded_anchor_outlives_an_earlier_place(others):
     assert states == {1: suffixes._BY_STRING, 9: suffixes._REPEATS} | ({2: suffixes._BY_STRING} if others else {})
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_texts_that_meet_in_a_hash_stay(spark, monkeypatch, collide):
+    """Two rows without an id whose texts have the same 32-bit hash, and rows whose hashes are all alike: no text goes that stands nowhere else."""
+    rng = np.random.default_rng(21)
+    if collide:
+        monkeypatch.setattr(suffixes, "_text_hash", lambda: F.lit(7).cast("bigint"))
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), 150)) for _ in range(4)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[3])]
+    kept = sorted(bytes(r.kept).decode() for r in suffixes.remove_repeats(fixtures.frame(spark, docs)).collect())
+    assert kept == sorted([*texts, ""])
+
+
 def test_a_row_given_twice_keeps_its_text_once(spark):
     rng = np.random.default_rng(11)
     words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(400)]
