@@ -122,6 +122,15 @@ def test_symbol_ranks_are_exact():
     assert all((ranks[i] == ranks[j]) == (grams[i] == grams[j]) for i in range(len(text)) for j in range(i))
 
 
+@pytest.mark.parametrize("top", [5, 1 << 20, 1 << 31])
+def test_ranks_of_pairs_and_keys(top):
+    rng = np.random.default_rng(13)
+    a, b = rng.integers(0, top, 3000), rng.integers(0, top, 3000)
+    want = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)[1].ravel()
+    assert (suffixes.pair_ranks(a, b) == want).all() and (suffixes.dense_ranks(suffixes._pair(a, b)) == want).all()
+    assert len(suffixes.pair_ranks(a[:0], b[:0])) == 0
+
+
 @pytest.mark.parametrize("options", [{}, {"region": 8}, {"percent": 80}])
 def test_groups_equal_brute_force(spark, options):
     docs = fixtures.family()
