@@ -31,9 +31,14 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those of which no language explains the words."""
+    """Drop documents without letters and those of which no language explains the words.
+
+    Where no row has a language, nothing can be learned and only documents without letters go, as do null and empty texts always.
+    """
     _small_batches(spark)
     model = learn(docs, F.col("doc_id").isNotNull())
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = predict_languages(docs, model, COLUMNS)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
