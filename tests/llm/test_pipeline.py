@@ -35,6 +35,12 @@ def test_language_drops_only_texts_without_letters(stages):
     assert sorted(map(str, rows(stages[1]))) == sorted(map(str, with_letters))
 
 
+def test_nothing_is_dropped_for_want_of_languages(spark):
+    docs = [(1, "eins zwei", None, "a"), (2, None, None, "a"), (3, "12 ...", None, "b"), (None, "drei é", None, None), (4, "", None, "b")]
+    given = fixtures.frame(spark, docs).select(*COLUMNS)
+    assert sorted(r.text for r in corpus_pipeline.language(spark, given, "").collect()) == ["drei é", "eins zwei"]
+
+
 def test_one_of_each_group(stages):
     given = rows(stages[1])
     groups = fixtures.plain_components([(r[0], r[1]) for r in given], 80)
