@@ -1,13 +1,16 @@
 """Operator 6: near-duplicate groups by an LSH forest over MinHash signatures.
 
-1. Every text gives the set of its word shingles, a signature of ``TREES x DEPTH`` minima, and one key per tree from the first
-   ``LEAST`` minima.  Documents with equal sets become one node.
-2. Nodes that share a key in any tree lie in one region (connected components over keys).  Only their sets are formed again.
-3. A region of up to ``REGION`` nodes is solved in one task.  A larger one is first cut, in every tree's sorted order of signatures of
-   ``DEPTH`` minima, into blocks of neighbours, which links most of its near copies.
+1. Every text gives the set of its word shingles and a signature of ``TREES x DEPTH`` minima, one label of ``DEPTH`` minima per tree.
+   Documents with equal sets become one node.
+2. Every tree is a sorted order of its labels, cut into ranges.  Each label is compared with the one before it, over the ends of ranges, too:
+   neighbours whose common prefix is at least ``LEAST`` minima long are candidates of each other, and so is everything between them.
+   What candidates reach over all trees is a region.  Only the sets of its nodes are formed again.
+3. A region of up to ``REGION`` nodes is solved in one task.  A larger one asks for a prefix longer by one, and falls into smaller regions,
+   until these fit or the labels end: each region has a depth of its own.  What is too large at full depth is cut along ``ORDERS`` of
+   the trees into blocks of neighbours.
 4. In a region or block all pairs whose sizes and signatures allow the similarity are compared on full sets, nearest first, unless links
    found so far connect them already.
-5. Pairs of a large region that the blocks left apart meet by their rare shingles: similar sets share one of their rarest, so each node is
+5. Pairs of a large region that deeper prefixes and blocks left apart meet by their rare shingles: similar sets share one of their rarest, so each node is
    listed under those, lists within one group are passed over, long lists are split, and the pairs that meet are compared on full sets.
    The links' components are the groups.
 """
@@ -19,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ from tabprofile.session import materialise, shuffle_partitions
 TREES, DEPTH, LEAST = 16, 6, 3
 #: Nodes of a region or block that are compared with each other.
 REGION = 1024
+#: Trees whose order cuts a region that is too large at full depth.
+ORDERS = 4
 #: Slots over which the shingles of large regions are counted to tell rare from common ones.
 SLOTS = 1 << 20
 #: Standard deviations of the signatures' estimate below the threshold at which a pair is still compared.
@@ -91,34 +97,98 @@ def _sign(words: int):
             sets = shingle_sets(texts, words)
             full = [s for s in sets if len(s)]
             signed = iter(signatures(full)) if full else iter(())
-            keys, first, second, minima = [], [], [], []
+            first, second, minima = [], [], []
             for s in sets:
                 if not len(s):
-                    keys.append(None), first.append(0), second.append(0), minima.append(None)
+                    first.append(0), second.append(0), minima.append(None)
                     continue
-                m = next(signed)
-                tree = m.reshape(TREES, DEPTH)[:, :LEAST].astype(np.uint64)
-                key = np.zeros(TREES, np.uint64)
-                for j in range(LEAST):
-                    key = mix64(key * _STEP + tree[:, j])
-                keys.append(key.view("<i8"))
                 first.append(int(mix64(s).sum(dtype=np.uint64).view("<i8")))
                 second.append(int(mix64(s ^ _STEP).sum(dtype=np.uint64).view("<i8")))
-                minima.append(m.tobytes())
+                minima.append(next(signed).tobytes())
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), batch.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()),
-                pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary()),
-            ], ["id", "hash", "n", "d1", "d2", "keys", "minima"])
+                pa.array(second, pa.int64()), pa.array(minima, pa.binary()),
+            ], ["id", "hash", "n", "d1", "d2", "minima"])
 
     return run
 
 
+#: The column of a run's first node, for each depth.
+_HEADS = [f"head{d}" for d in range(LEAST, DEPTH + 1)]
+
+
+def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range of the orders: each with the first node of its run of common prefixes, for every depth; runs of one give none.
+
+    The first and the last row of a range come with their labels and the range's number, so that runs go on from range to range.
+    """
+    part = TaskContext.get().partitionId()
+    last: tuple | None = None  # tree, label, node and heads of the row before
+    depths = np.arange(LEAST, DEPTH + 1)
+
+    def rows(node, heads, at=None, tree=None, label=None):
+        n = len(node)
+        ends = [pa.array([v] * n, t) for v, t in ((at, pa.int32()), (tree, pa.int32()), (label, pa.binary()))]
+        return pa.RecordBatch.from_arrays([pa.array(node), *(pa.array(heads[:, k]) for k in range(len(_HEADS))), *ends], ["node", *_HEADS, "at", "tree", "label"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, tree = (batch.column(c).to_numpy().astype(np.int64) for c in ("node", "tree"))
+        raw = batch.column("label").to_pylist()
+        label = np.frombuffer(b"".join(raw), "<u4").reshape(-1, DEPTH)
+        started = last is not None
+        before = np.concatenate([last[1] if started else label[:1], label[:-1]])
+        alike = tree == np.concatenate([[last[0] if started else -1], tree[:-1]])
+        common = np.logical_and.accumulate((label == before) & alike[:, None], axis=1).sum(axis=1)
+        opens = common[:, None] < depths
+        at = np.maximum.accumulate(np.where(opens, np.arange(len(node))[:, None], -1), axis=0)
+        heads = np.where(at < 0, last[3] if started else 0, node[at])
+        if not started:
+            yield rows(node[:1], heads[:1], 2 * part, int(tree[0]), raw[0])
+        within = common >= LEAST
+        yield rows(node[within], heads[within])
+        last = int(tree[-1]), label[-1:], raw[-1], heads[-1], node[-1:]
+    if last is not None:
+        yield rows(last[4], last[3][None], 2 * part + 1, last[0], last[2])
+
+
+def _forest(nodes: DataFrame) -> DataFrame:
+    """``node`` and, per depth, a node in front of it in the order of some tree to which common prefixes of that length lead."""
+    spark = nodes.sparkSession
+    kinds = ", ".join(["node bigint", *(f"{h} bigint" for h in _HEADS), "at int, tree int, label binary"])
+    labels = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "minima").select(
+        "tree", F.substring(F.col("minima"), F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4)).alias("label"), "node")
+    order = ("tree", "label", "node")
+    ranges = labels.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    found = materialise(ranges.mapInArrow(_prefixes, kinds))
+    # two rows a range: the end of one and the beginning of the next
+    ends = sorted(found.where("at is not null").collect(), key=lambda r: r["at"])
+    over = []
+    for a, b in zip(ends[1::2], ends[2::2]):
+        x, y = (np.frombuffer(r["label"], "<u4") for r in (a, b))
+        common = int(np.logical_and.accumulate((x == y) & (a["tree"] == b["tree"])).sum())
+        if common >= LEAST:
+            over.append((b["node"], *(a[h] if common >= d else b["node"] for d, h in zip(range(LEAST, DEPTH + 1), _HEADS))))
+    within = found.where("at is null").select("node", *_HEADS)
+    return within.unionAll(spark.createDataFrame(over, within.schema)) if over else within
+
+
 def _sets(words: int):
+    """The set of each node, once per task however often its row is repeated."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches):
+        seen: set[int] = set()
+        for batch in pieces(batches, HASH_BLOCK):
+            new = []
+            for node in batch.column("node").to_pylist():
+                new.append(node not in seen)
+                seen.add(node)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([
                 batch.column("node"), batch.column("region"), batch.column("size"), batch.column("minima"),
-                pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary()),
+                pa.array([s.tobytes() for s in (shingle_sets(texts, words) if texts else ())], pa.binary()),
             ], ["node", "region", "size", "minima", "shingles"])
 
     return run
@@ -167,7 +237,7 @@ _LINKS = "a bigint, b bigint"
 
 def _solve_regions(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [link for _, part in pdf.groupby("region") for link in _links_within(*_arrays(part), percent)]
+        found = [link for _, part in pdf.drop_duplicates("node").groupby("region") for link in _links_within(*_arrays(part), percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -301,37 +371,59 @@ def _remaining_links(large: DataFrame, groups: DataFrame, percent: int, block: i
     return beside(likely, "shingles").mapInArrow(_confirm(percent), _LINKS)
 
 
+def _runs(forest: DataFrame, depth: int) -> DataFrame:
+    head = F.col(f"head{depth}")
+    return forest.where(head != F.col("node")).select(F.col("node").alias("a"), head.alias("b"))
+
+
+def _sized(regions: DataFrame) -> DataFrame:
+    sizes = regions.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    return regions.join(sizes, "root").select("node", F.col("root").alias("region"), "size")
+
+
 def _grouped(docs: DataFrame, percent: int, words: int, region: int) -> DataFrame:
     """``id, hash, n, root, component`` of every row: the root is unique to a group, null without words; the component is the group's least id."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("hash"),
                         F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"))
-    signed = materialise(keyed.mapInArrow(_sign(words), "id bigint, hash bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, minima binary"))
+    signed = materialise(keyed.mapInArrow(_sign(words), "id bigint, hash bigint, n bigint, d1 bigint, d2 bigint, minima binary"))
     with_words = signed.where("n > 0")
     nodes = materialise(
-        with_words.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "hash", "keys", "minima")).alias("r"))
+        with_words.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "hash", "minima")).alias("r"))
         .select("d1", "d2", "n", F.monotonically_increasing_id().alias("node"), F.col("r.id").alias("id"), F.col("r.hash").alias("hash"),
-                F.col("r.keys").alias("keys"), F.col("r.minima").alias("minima")))
-    in_trees = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    shared = in_trees.groupBy("tree", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    star = in_trees.join(shared, ["tree", "key"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    regions = components(star)
-    sizes = regions.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = regions.join(sizes, "root").select("node", F.col("root").alias("region"), "size")
+                F.col("r.minima").alias("minima")))
+    forest = _forest(nodes)
+    regions = components(_runs(forest, LEAST))
+    placed = _sized(regions)
     wanted = nodes.select("node", "id", "hash", "minima").join(placed, "node")
     texts = keyed.join(wanted, ["id", "hash"])
     sets = materialise(texts.select("node", "region", "size", "minima", "text").mapInArrow(
         _sets(words), "node bigint, region bigint, size bigint, minima binary, shingles binary"))
     buckets = max(shuffle_partitions(spark), (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // (16 << 20))
-    small = sets.where(F.col("size") <= region).withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)))
-    links = small.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_solve_regions(percent), _LINKS)
+
+    def solved(part: DataFrame) -> DataFrame:
+        dealt = part.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets))).repartition(buckets, "bucket")
+        return dealt.groupBy("bucket").applyInPandas(_solve_regions(percent), _LINKS)
+
+    links = solved(sets.where(F.col("size") <= region))
     large = sets.where(F.col("size") > region)
     if large.limit(1).count():
-        ordered = large.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).withColumn(
-            "label", F.substring(F.col("minima"), F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4)))
-        ordered = ordered.repartitionByRange(buckets * 4, "tree", "region", "label", "node").sortWithinPartitions("tree", "region", "label", "node")
-        links = links.unionAll(ordered.select("region", "node", "minima", "shingles").mapInPandas(_solve_blocks(percent, region), _LINKS))
+        large = materialise(large.dropDuplicates(["node"]))
+        crowded = large
+        for depth in range(LEAST + 1, DEPTH + 1):  # the nodes still in too large regions ask for longer prefixes
+            inner = forest.join(crowded.select("node"), "node", "left_semi")
+            crowded = materialise(_sized(components(_runs(inner, depth))))
+            fits = crowded.where(F.col("size") <= region)
+            links = links.unionAll(solved(large.drop("region", "size").join(fits, "node")))
+            crowded = crowded.where(F.col("size") > region)
+            if not crowded.limit(1).count():
+                break
+        else:
+            ordered = large.drop("region", "size").join(crowded, "node").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).withColumn(
+                "label", F.substring(F.col("minima"), F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4)))
+            ordered = ordered.repartitionByRange(buckets, "tree", "region", "label", "node").sortWithinPartitions("tree", "region", "label", "node")
+            links = links.unionAll(ordered.select("region", "node", "minima", "shingles").mapInPandas(_solve_blocks(percent, region), _LINKS))
         groups = materialise(components(links))
         linked = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
         links = linked.unionAll(_remaining_links(large, groups, percent, region))

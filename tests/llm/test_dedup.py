@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabprofile.llm import suffixes
+from tabprofile.llm import minhash, suffixes
 from tabprofile.llm.graphs import components
 from tabprofile.llm.minhash import keep_one, near_duplicates
 
@@ -162,6 +162,31 @@ def test_large_regions_of_boilerplate_equal_brute_force(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, fixtures.plain_components(docs, 85)))
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_sorted_orders_find_common_prefixes(spark, monkeypatch, ranges):
+    """At every depth, what neighbours lead to are the nodes that share so long a prefix of some tree's label, wherever ranges end."""
+    monkeypatch.setattr(minhash, "shuffle_partitions", lambda spark: ranges)
+    rng = np.random.default_rng(3)
+    minima = rng.integers(0, 3, (150, minhash.TREES * minhash.DEPTH)).astype("<u4")
+    minima[40:80, :6] = 1  # one long run in the first tree
+    minima[:, 12:] += (np.arange(150, dtype="<u4") * 10)[:, None]  # only the first two trees have common prefixes
+    forest = minhash._forest(spark.createDataFrame([(i, bytes(m.tobytes())) for i, m in enumerate(minima)], "node bigint, minima binary").repartition(5)).cache()
+    for depth in range(minhash.LEAST, minhash.DEPTH + 1):
+        links = []
+        for tree in range(minhash.TREES):
+            prefix = [tuple(m[tree * minhash.DEPTH: tree * minhash.DEPTH + depth]) for m in minima]
+            links += [(i, j) for i in range(150) for j in range(i) if prefix[i] == prefix[j]]
+        want = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+        assert {r.node: r.root for r in components(minhash._runs(forest, depth)).collect()} == want
+
+
+def test_a_row_repeated_very_often(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = [(7, text)] * 20_000 + [(8, text + " more"), (9, text), (None, None), (None, None)]
+    got = near_duplicates(fixtures.frame(spark, docs, 6)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, True, 20_000), (8, 7, False, 1), (9, 7, False, 1), (None, None, True, 2)}
+
+
 def test_unlinked_texts_with_null_or_repeated_ids_stay(spark):
     docs = [(d, " ".join(f"{w}{d}{k}{i}" for i in range(9))) for d, w in ((None, "x"), (7, "y")) for k in range(3)] + [(8, "a b c d e f")] * 2
     kept = keep_one(fixtures.frame(spark, docs, 4), 80).select("doc_id", "text").collect()
