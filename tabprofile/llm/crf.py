@@ -8,6 +8,7 @@ languages is labelled word by word; a document takes the language with the large
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from tabprofile.llm.common import HASH_BLOCK, claim, pieces, spread
 
-#: Documents per language, and languages (the most frequent ones), that the model is learned from.
-TRAIN_DOCS, LANGUAGES = 500, 64
+#: Documents per language that the model is learned from, and documents of all languages together: with more than 64 languages each gives fewer.
+TRAIN_DOCS, TRAIN_ALL = 500, 32_000
 CHAIN = 64
 #: Words of a training sequence, and the longest stretch from one document in it (so that switches are learned).
 SEQUENCE, STRETCH = 32, 24
@@ -58,7 +59,8 @@ class Chain:
     """The learned weights: n-grams x languages, lexicon x languages, transitions and starts."""
 
     languages: list[str]
-    lexicon: dict[bytes, int]  # word -> bit per language
+    lexicon: dict[bytes, int]  # word -> row of ``marks``
+    marks: np.ndarray  # one bit per language; the last row, for all other words, is empty
     grams: np.ndarray
     lists: np.ndarray
     transitions: np.ndarray
@@ -73,8 +75,9 @@ class Chain:
         self._cache, self._rows = {}, None
 
     def memberships(self, words: list[bytes]) -> np.ndarray:
-        bits = np.array([self.lexicon.get(w, 0) for w in words], np.uint64)
-        return (bits[:, None] >> np.arange(len(self.languages), dtype=np.uint64) & np.uint64(1)).astype(np.float32)
+        other = len(self.marks) - 1
+        at = np.array([self.lexicon.get(w, other) for w in words], np.int64)
+        return np.unpackbits(self.marks[at], axis=1, count=len(self.languages)).astype(np.float32)
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         ids, owner = ngrams(words)
@@ -167,18 +170,18 @@ def train(rows: list[tuple[str, str]], seed: int = 2) -> Chain:
     """
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    texts = [(words_of(t), languages.index(lang)) for t, lang in rows]
-    lexicon: dict[bytes, int] = {}
-    for k in range(len(languages)):
-        seen: dict[bytes, int] = {}
-        for ws, lang in texts:
-            if lang == k:
-                for w in set(ws):
-                    seen[w] = seen.get(w, 0) + 1
-        for w in sorted(seen, key=lambda w: (-seen[w], w))[:LEXICON_WORDS]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << k
+    number = {lang: k for k, lang in enumerate(languages)}
+    texts = [(words_of(t), number[lang]) for t, lang in rows]
     n = len(languages)
-    model = Chain(languages, lexicon, np.zeros((1 << BITS, n), np.float32), np.eye(n, dtype=np.float32), np.zeros((n, n), np.float32), np.zeros(n, np.float32))
+    seen: list[Counter[bytes]] = [Counter() for _ in languages]
+    for ws, lang in texts:
+        seen[lang].update(set(ws))
+    lists = [sorted(c, key=lambda w: (-c[w], w))[:LEXICON_WORDS] for c in seen]
+    lexicon = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
+    marks = np.zeros((len(lexicon) + 1, -(-n // 8)), np.uint8)
+    for k, ws in enumerate(lists):
+        marks[[lexicon[w] for w in ws], k // 8] |= 128 >> k % 8
+    model = Chain(languages, lexicon, marks, np.zeros((1 << BITS, n), np.float32), np.eye(n, dtype=np.float32), np.zeros((n, n), np.float32), np.zeros(n, np.float32))
     stretches = []
     for ws, lang in texts:
         at = 0
@@ -228,10 +231,14 @@ def train(rows: list[tuple[str, str]], seed: int = 2) -> Chain:
 
 
 def learn(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Chain:
-    """Learn from ``text`` and ``lang`` of usable rows: ``per_language`` rows of each of the ``LANGUAGES`` most frequent languages, by hash."""
+    """Learn every language from ``text`` and ``lang`` of usable rows: ``per_language`` rows of each, chosen by hash.
+
+    With so many languages that this exceeds ``TRAIN_ALL`` rows, each gives an equal share of these, but one at the least.
+    """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("_order"))
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    per_language = max(1, min(per_language, TRAIN_ALL // max(len(found), 1)))
     # a share of each language, by hash, that holds twice the wanted number, so that few rows are ranked
     fits = F.lit(False)
     for r in found:

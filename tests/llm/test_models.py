@@ -31,6 +31,19 @@ def test_switching_text_is_labelled_word_by_word(tables):
     assert (found == np.repeat([model.languages.index("en"), model.languages.index("de")], 30)).mean() > 0.9
 
 
+@pytest.mark.parametrize("bound", [32_000, 70])
+def test_every_language_is_learned(spark, monkeypatch, bound):
+    monkeypatch.setattr(crf, "TRAIN_ALL", bound)
+    rng = np.random.default_rng(7)
+    words = [["".join(rng.choice(list("abcdefghijklmnoprstu"), 6)) for _ in range(30)] for _ in range(70)]
+    rows = [(i, " ".join(rng.choice(words[i % 70], 200)), f"l{i % 70:02}") for i in range(420)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = crf.learn(docs, F.col("doc_id") < 280)
+    assert model.languages == sorted({r[2] for r in rows})
+    found = crf.predict_languages(docs.where("doc_id >= 280").drop("lang"), model).collect()
+    assert len(found) == 140 and all(r.lang_pred == f"l{r.doc_id % 70:02}" for r in found)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     scores, move, first = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
