@@ -21,20 +21,22 @@ def _stars(links: DataFrame) -> DataFrame:
     return small.unionAll(lowest.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _unfinished(links: DataFrame) -> bool:
+    """Whether some node is neither the smallest of its neighbourhood nor tied to one smaller node alone."""
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    facts = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count(F.lit(1)).alias("n"))
+    return facts.where("low < a AND (high > a OR n > 1)").agg(F.count(F.lit(1))).first()[0] > 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b`` bigint): the root is the smallest node that can be reached.
 
-    Links become stars around smaller and smaller nodes until nothing changes, after a number of rounds logarithmic in the longest path.
-    Each round is stored, so lost executors cost no more than one round; only two figures per round come to the driver.  Joins are on
+    Links become stars around smaller and smaller nodes until only stars are left, after a number of rounds logarithmic in the longest path.
+    Each round is stored, so lost executors cost no more than one round; only one figure per round comes to the driver.  Joins are on
     one row per node, so a node with very many links is split by the optimiser's skew join.
     """
     now = materialise(links.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").select("a", "b").distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+    while _unfinished(now):
         now = materialise(_stars(now))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -410,16 +410,16 @@ def _grouped(docs: DataFrame, percent: int, words: int, region: int) -> DataFram
     large = sets.where(F.col("size") > region)
     if large.limit(1).count():
         large = materialise(large.dropDuplicates(["node"]))
-        crowded = large
-        for depth in range(LEAST + 1, DEPTH + 1):  # the nodes still in too large regions ask for longer prefixes
-            inner = forest.join(crowded.select("node"), "node", "left_semi")
-            crowded = materialise(_sized(components(_runs(inner, depth))))
-            fits = crowded.where(F.col("size") <= region)
-            links = links.unionAll(solved(large.drop("region", "size").join(fits, "node")))
-            crowded = crowded.where(F.col("size") > region)
-            if not crowded.limit(1).count():
-                break
-        else:
+        # what asks for longer prefixes asks for all of them at once: a node at a depth is one key
+        steps = DEPTH - LEAST
+        keys = [F.struct((F.col("node") * steps + k).alias("a"), (F.col(h) * steps + k).alias("b")) for k, h in enumerate(_HEADS[1:])]
+        runs = forest.join(large.select("node"), "node", "left_semi").select(F.explode(F.array(*keys)).alias("r")).select("r.a", "r.b")
+        deeper = materialise(_sized(components(runs)).withColumns({"step": F.expr(f"node % {steps}"), "node": F.expr(f"node div {steps}")}))
+        # regions of a depth lie within those of the one before, so a node's first region that fits is its place
+        fits = deeper.where(F.col("size") <= region).groupBy("node").agg(F.min(F.struct("step", "region", "size")).alias("r"))
+        links = links.unionAll(solved(large.drop("region", "size").join(fits.select("node", "r.region", "r.size"), "node")))
+        crowded = deeper.where((F.col("size") > region) & (F.col("step") == steps - 1)).drop("step")
+        if crowded.limit(1).count():
             ordered = large.drop("region", "size").join(crowded, "node").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).withColumn(
                 "label", F.substring(F.col("minima"), F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4)))
             ordered = ordered.repartitionByRange(buckets, "tree", "region", "label", "node").sortWithinPartitions("tree", "region", "label", "node")
