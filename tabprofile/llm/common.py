@@ -98,6 +98,18 @@ _SIGNS = ".,;:!?#*$%&|"
 _CACHE_ENTRIES = 600_000
 
 
+def _plainly_spaced(text: str) -> bool:
+    """Whether every space is a cut: printable characters up to U+00FF and line feeds, and no space before white space or at the end."""
+    if "  " in text or " \n" in text or text.endswith(" "):
+        return False
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return text.replace("\n", "").isprintable()
+
+
 class Encoder:
     """Token ids of texts by the ``tokenizers`` library.
 
@@ -185,7 +197,7 @@ class Encoder:
     def _by_piece(self, texts: list[str]) -> list[bytes]:
         if len(self.first) > _CACHE_ENTRIES // 8:
             self.first.clear()
-        cut = [_CUT.split(t) for t in texts]
+        cut = [t.split(" ") if _plainly_spaced(t) else _CUT.split(t) for t in texts]
         heads = [c[0] for c in cut]
         new = list({h for h in heads if h not in self.first})
         self.first.update(zip(new, self._whole(new)))

@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabprofile.llm.common import documents, encoder, pieces, tokenizer_spec
-from tabprofile.functions.sampling import ordered_totals
+from tabprofile.functions.frames import small_or_same
 from tabprofile.session import materialise, shuffle_partitions
 from tabprofile.sources.sinks import scratch_path
 
@@ -61,13 +61,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(n)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
-    """``doc_id, n_ids, raw, width``: each text's ids as little-endian unsigned integers of ``width`` bytes, in the order of the rows.
-
-    Null and empty texts give no ids but ``end_id``, which closes every document.
-    """
-    spec = tokenizer_spec(docs.sparkSession, tokenizer)
-
+def _tokenise(spec, end_id: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         width = enc.dtype.itemsize
@@ -79,30 +73,55 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFra
                 pa.array([width] * len(coded), pa.int32()),
             ], ["doc_id", "n_ids", "raw", "width"])
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, n_ids bigint, raw binary, width int")
+    return run
 
 
-def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for raw, width in zip(batch.column("raw").to_pylist(), batch.column("width").to_pylist()):
-        yield np.frombuffer(raw, "<u2" if width == 2 else "<u4")
+_TOKENS = "doc_id bigint, n_ids bigint, raw binary, width int"
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for ids in _ids(batch):
-            seen = np.bincount(ids)
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
+    """``doc_id, n_ids, raw, width``: each text's ids as little-endian unsigned integers of ``width`` bytes, in the order of the rows.
+
+    Null and empty texts give no ids but ``end_id``, which closes every document.
+    """
+    return documents(docs).mapInArrow(_tokenise(tokenizer_spec(docs.sparkSession, tokenizer), end_id), _TOKENS)
+
+
+def _numbers(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if width == 2 else "<u4")
+
+
+def _tokenise_and_count(spec, end_id: int | None):
+    """Rows of :func:`_tokenise`, and one more at a task's end whose ``raw`` is null and whose ``tally`` has its ids' counts."""
+    tokenise = _tokenise(spec, end_id)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in tokenise(batches):
+            seen = np.bincount(_numbers(b"".join(batch.column("raw").to_pylist()), batch.column("width")[0].as_py()))
             if len(seen) > len(total):
                 total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-            total[:len(seen)] += seen
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+            total[: len(seen)] += seen
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], [*batch.schema.names, "tally"])
+        used = np.flatnonzero(total)
+        tally = np.stack([used, total[used]]).astype("<i8").tobytes()
+        nulls = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array([tally], pa.binary())], ["doc_id", "n_ids", "raw", "width", "tally"])
+
+    return run
+
+
+def _tallies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for tally in batch.column("tally").to_pylist():
+            used, times = np.frombuffer(tally, "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(times)], ["id", "n"])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, partitions: int | None = None) -> None:
     """Encode every whole text and write the two tables below ``path``.
 
-    Texts are tokenised once into a shared table ordered by document; each task sums its own id counts, so that the count
+    Texts are tokenised once into a shared table ordered by document; each task adds its own id counts to it, so that the count
     of all is one row per id and task; the rank table has one row per id of the vocabulary, whatever the corpus.
 
     Null ``doc_id`` comes first; rows of one ``doc_id`` stay separate, in one order; a null or
@@ -111,8 +130,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     spark = docs.sparkSession
     # ranges are drawn before texts are tokenised, for drawing them costs a pass
     ordered = documents(docs).repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", F.xxhash64("text"))
-    stored = materialise(tokenize(ordered.sortWithinPartitions("doc_id", "text"), tokenizer, end_id).withColumn("shard", F.spark_partition_id()))
-    counts = stored.select("raw", "width").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    coding = _tokenise_and_count(tokenizer_spec(spark, tokenizer), end_id)
+    stored = materialise(ordered.sortWithinPartitions("doc_id", "text").mapInArrow(coding, f"{_TOKENS}, tally binary").withColumn("shard", F.spark_partition_id()))
+    tallies = stored.select("tally").where("tally IS NOT NULL").mapInArrow(_tallies, "id bigint, n bigint")
+    counts = tallies.groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))
     spark.createDataFrame([(k, r["id"]) for k, r in enumerate(ranked)], "rank int, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(1 + max([0, *(r["id"] for r in ranked)]), "<u4")
@@ -123,18 +144,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in pieces(batches, column="raw"):
-            coded = [encode_ranks(ranks[ids]) for ids in _ids(batch)]
+            coded = [encode_ranks(ranks[_numbers(*r)]) for r in zip(batch.column("raw").to_pylist(), batch.column("width").to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("n_ids"), pa.array([c for c, _ in coded], pa.binary()),
                 pa.array([d for _, d in coded], pa.binary()), batch.column("shard"),
             ], ["doc_id", "n_ids", "control", "data", "shard"])
 
-    coded = stored.mapInArrow(run, "doc_id bigint, n_ids bigint, control binary, data binary, shard int")
+    coded = stored.where("raw IS NOT NULL").drop("tally").mapInArrow(run, "doc_id bigint, n_ids bigint, control binary, data binary, shard int")
     coded.sortWithinPartitions("shard", "doc_id").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/data")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, n_ids, ids`` of a written data set; ``ids`` are little-endian unsigned 32-bit integers."""
+    """``doc_id, n_ids, ids, shard`` of a written data set; ``ids`` are little-endian unsigned 32-bit integers."""
     ranked = spark.read.parquet(f"{path}/ranks").collect()
     id_of = np.zeros(len(ranked), "<u4")
     for r in ranked:
@@ -146,18 +167,26 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in pieces(batches, column="data"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_ids")))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_ids"), pa.array([ids[decode_ranks(*r)].tobytes() for r in rows], pa.binary()),
-            ], ["doc_id", "n_ids", "ids"])
+                batch.column("doc_id"), batch.column("n_ids"), pa.array([ids[decode_ranks(*r)].tobytes() for r in rows], pa.binary()), batch.column("shard"),
+            ], ["doc_id", "n_ids", "ids", "shard"])
 
-    stored = spark.read.schema("doc_id bigint, n_ids bigint, control binary, data binary").parquet(f"{path}/data")
-    return stored.select("doc_id", "n_ids", "control", "data").mapInArrow(run, "doc_id bigint, n_ids bigint, ids binary")
+    stored = _stored(spark, path).select("doc_id", "n_ids", "control", "data", "shard")
+    return stored.mapInArrow(run, "doc_id bigint, n_ids bigint, ids binary, shard int")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id bigint, n_ids bigint, control binary, data binary, shard int").parquet(f"{path}/data")
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs``, read the files back, and give each document's place, length and checksum."""
-    path = scratch_path(docs.sparkSession, "tokens")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer)
-    read = materialise(read_tokens(docs.sparkSession, path).select(  # stored, for drawing ranges reads it twice
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
-    placed = ordered_totals(read, [], ["doc_id", "n_tokens", "ids_crc32"], F.col("n_tokens"), "start")
-    return placed.select("doc_id", F.col("start").cast("bigint").alias("start"), "n_tokens", "ids_crc32")
+    # documents ascend from shard to shard, so a shard starts after the ids of those before it
+    before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = _stored(spark, path).groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    read = read_tokens(spark, path).select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "shard")
+    within = Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = read.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(small_or_same(bases), "shard")
+    return placed.select("doc_id", (F.col("base") + F.col("within")).cast("bigint").alias("start"), "n_tokens", "ids_crc32")
