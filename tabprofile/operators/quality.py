@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprofile.functions.frames import (
-    as_double, col, is_nested, is_string, long_form, normalise, numeric_columns, per_column, scalars, type_of, union_all,
-    value_counts,
+    as_double, col, is_nested, is_string, long_form, normalise, numeric_columns, per_column, scalars, small_or_same, type_of,
+    union_all, value_counts,
 )
 from tabprofile.functions.sampling import ordered_totals
 from tabprofile.operators.association import pearson
@@ -67,7 +67,8 @@ def chi_square(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     cells = _contingency(df, columns, target)
     values = cells.groupBy("column", "value").agg(F.sum("n").alias("r"))
     targets = cells.groupBy("column", "target").agg(F.sum("n").alias("c"))
-    joined = cells.join(values, ["column", "value"]).join(targets, ["column", "target"])
+    # a column has few targets, so a shuffle by them would fill few tasks
+    joined = cells.join(values, ["column", "value"]).join(small_or_same(targets), ["column", "target"])
     terms = joined.groupBy("column").agg(F.sum(F.col("n") ** 2 / (F.col("r") * F.col("c"))).alias("s"), F.sum("n").alias("total"))
     shape = values.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).join(
         targets.groupBy("column").agg(F.count(F.lit(1)).alias("cols")), "column")
@@ -85,15 +86,15 @@ def anova_f(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
         e for i in range(len(columns))
         for e in (F.count(f"x{i}").alias(f"n{i}"), F.sum(f"x{i}").alias(f"s{i}"), F.sum(F.col(f"x{i}") ** 2).alias(f"q{i}"))
     ])
-    out = []
-    for i, c in enumerate(columns):
-        g = groups.where(F.col(f"n{i}") > 0).agg(
-            F.sum(f"n{i}").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(f"s{i}").alias("s"), F.sum(f"q{i}").alias("q"),
-            F.sum(F.col(f"s{i}") ** 2 / F.col(f"n{i}")).alias("b"))
-        between, within = F.col("b") - F.col("s") ** 2 / F.col("n"), F.col("q") - F.col("b")
-        out.append(g.select(F.lit(c).alias("column"), F.try_divide(
-            F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k"))).alias("f")))
-    return union_all(out)
+    # one row per class and column, so that all columns share the scan and the grouping
+    parts = [F.struct(F.lit(c).alias("column"), *[F.col(f"{p}{i}").alias(p) for p in "nsq"]) for i, c in enumerate(columns)]
+    sums = groups.select(F.explode(F.array(*parts)).alias("p")).select("p.*").groupBy("column").agg(
+        F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"),
+        F.sum(F.try_divide(F.col("s") ** 2, F.col("n"))).alias("b"))
+    between, within = F.col("b") - F.try_divide(F.col("s") ** 2, F.col("n")), F.col("q") - F.col("b")
+    found = sums.select("column", F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k"))).alias("f"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # a table without classes has no sums
+    return every.join(found, "column", "left")
 
 
 def population_stability(before: DataFrame, after: DataFrame, column: str, bins: int = 10) -> DataFrame:

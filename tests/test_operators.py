@@ -451,3 +451,26 @@ def test_spearman_with_gaps_and_a_dominant_value(spark):
         expected = want.loc[a, b]
         assert v == pytest.approx(0.0 if np.isnan(expected) else expected, abs=1e-9), (a, b)
     assert len(got) == 144
+
+
+def test_anova_of_many_columns_reads_the_table_once(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"t": rng.choice(["a", "b", "c"], 400), **{f"x{i}": rng.normal(i, 1, 400) for i in range(4)}})
+    pdf.loc[pdf["t"] == "b", "x1"] = None
+    pdf["none"] = None
+    pdf["none"] = pdf["none"].astype("float64")
+    path = str(tmp_path / "t.parquet")
+    pdf.to_parquet(path)
+    names = ["x0", "x1", "x2", "x3", "none"]
+    out = quality.anova_f(spark.read.parquet(path), names, "t")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    got = {r["column"]: r["f"] for r in out.collect()}
+    for c in names[:4]:
+        groups = [g.dropna().to_numpy() for _, g in pdf.groupby("t")[c]]
+        groups = [g for g in groups if len(g)]
+        every = np.concatenate(groups)
+        between = sum(len(g) * (g.mean() - every.mean()) ** 2 for g in groups) / (len(groups) - 1)
+        within = sum(((g - g.mean()) ** 2).sum() for g in groups) / (len(every) - len(groups))
+        assert got[c] == pytest.approx(between / within, rel=1e-9)
+    assert got["none"] is None
+    assert {r["f"] for r in quality.anova_f(spark.read.parquet(path).where("false"), names, "t").collect()} == {None}
