@@ -1,6 +1,7 @@
 """Operators against small frames with known answers."""
 
 import datetime
+import re
 from itertools import combinations
 
 import numpy as np
@@ -312,6 +313,26 @@ def test_neighbours_match_brute_force(spark, box):
     assert np.allclose(got, brute_neighbours(x, 6))
 
 
+@pytest.mark.parametrize("box", [16, None])
+def test_wide_neighbours_match_brute_force(spark, box):
+    """Many dimensions go through rough products first: the answer is exact, far from the origin and beside copies too."""
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.normal(size=(120, 12)), rng.normal(size=(40, 12)) * 1e-4 + 1e3]
+    points = spark.createDataFrame([(i, [float(v) for v in p], 1) for i, p in enumerate(x)], "id bigint, x array<double>, n bigint")
+    found = neighbours.nearest_neighbours(points, 5, points_per_box=box).toPandas()
+    got = np.stack(found.sort_values(["id", "distance"]).groupby("id")["distance"].apply(np.array).to_numpy())
+    assert np.allclose(got, brute_neighbours(x, 5), rtol=1e-12)
+
+
+def test_tasks_follow_the_pairs_compared(spark, monkeypatch):
+    """Few bytes can be many pairs: boxes are dealt out to as many tasks as their pairs ask for, and not merged by their bytes."""
+    monkeypatch.setattr(neighbours, "PAIRS_PER_TASK", 2_000)
+    points = spark.createDataFrame([(i, [float(i % 37), float(i % 53)], 1) for i in range(600)], "id bigint, x array<double>, n bigint")
+    found = neighbours.nearest_neighbours(points, 3, points_per_box=40)
+    parts = [int(n) for n in re.findall(r"hashpartitioning\(box#\d+, share#\d+, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().toString())]
+    assert parts and min(parts) > 4
+
+
 def test_neighbours_count_copies(spark):
     points = spark.createDataFrame([(0, [0.0], 3), (1, [1.0], 2), (2, [9.0], 1)], "id bigint, x array<double>, n bigint")
     found = {(r["id"], r["other"]): r["copies"] for r in neighbours.nearest_neighbours(points, 4, points_per_box=1).collect()}
