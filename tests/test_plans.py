@@ -436,3 +436,59 @@ def test_content_key_does_not_depend_on_layout(spark):
     df = spark.createDataFrame(rows, "a int, b double, c string")
     first, second = (sorted(tuple(r) for r in training.content_key(d, "k").select("k", "a").collect()) for d in (df.repartition(3), df.orderBy("b").repartition(7)))
     assert first == second and len({k for k, _ in first}) == 300
+
+
+def test_content_key_counts_rows_alike_before_they_move(spark):
+    """Equal rows enter the shuffle once per task and no group of them is ordered; each gets its own number."""
+    df = spark.createDataFrame([(1, "x")] * 2500 + [(2, None)], "a int, c string").repartition(3)
+    keyed = training.content_key(df, "k")
+    plan = keyed._jdf.queryExecution().toString()
+    assert "Window" not in plan and "partial_count" in plan
+    rows = keyed.collect()
+    numbers = sorted(int(r.k.split("-")[1]) for r in rows if r.a == 1)
+    assert numbers == list(range(1, 2501)) and len({r.k for r in rows}) == 2501 and keyed.columns == ["a", "c", "k"]
+
+
+def test_rows_of_a_fold_are_prepared_once_for_all_trials(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = frame(spark, id=range(300), a=rng.normal(size=300), c=rng.choice(list("xyz"), 300))
+    df = df.withColumn("y", F.col("a") * 2 + F.length("c"))
+    prepared = training.prepare(df, TaskSpec("regression", "y", "rmse"), key="id")
+    plan = [FeatureStep("encode", ["c"], {"method": "target"})]
+    made, real = [], training.fit_preprocessor
+    monkeypatch.setattr(training, "fit_preprocessor", lambda *a: made.append(1) or real(*a))
+    _, history, note = training.tune(prepared, prepared.features, plan, "Ridge", {"alpha": 1.0}, trials=3)
+    assert note is None and len(history) == 3 and len(made) == training.TUNING_FOLDS
+    for trial in history:  # the same scores as with rows of its own
+        _, found, _ = training.cross_validate(prepared, prepared.features, plan, "Ridge", trial.params, folds=3)
+        assert found.where("metric = 'rmse'").agg(F.avg("value")).first()[0] == pytest.approx(trial.score, rel=1e-9)
+
+
+def test_candidates_share_their_training_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = frame(spark, id=range(200), a=rng.normal(size=200), b=rng.normal(size=200)).withColumn("y", (F.col("a") + F.col("b") > 0.5).cast("int"))
+    prepared = training.prepare(df, TaskSpec("classification", "y", "f1"), key="id")
+    made, real = [], training.fit_preprocessor
+    monkeypatch.setattr(training, "fit_preprocessor", lambda *a: made.append(1) or real(*a))
+    found = training.train_all(prepared, [CandidateModel("l", "LogisticRegression", {}), CandidateModel("r", "RandomForestClassifier", {"n_estimators": 3})],
+                               [], training.Options(cv_folds=None, resampling="smote"))
+    assert [r.status for r in found] == ["succeeded"] * 2 and len(made) == 1 and {r.resampling_applied for r in found} == {"smote"}
+
+
+def test_learners_get_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(training, "VALUES_PER_TASK", 30)
+    df = frame(spark, id=range(400), a=[float(i) for i in range(400)], b=1.5).withColumn("y", F.col("a") * 2)
+    prepared = training.prepare(df, TaskSpec("regression", "y", "rmse"), key="id")
+    sizes, real = [], training.build_estimator
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, rows):
+            sizes.extend(r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect())
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(training, "build_estimator", lambda *a, **k: Spy(real(*a, **k)))
+    training.fit_model(prepared, prepared.train, ["a", "b"], [], "Ridge", {})
+    assert len(sizes) > 20 and max(sizes) <= 30
