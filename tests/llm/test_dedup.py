@@ -6,9 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabprofile.llm import minhash, suffixes
+from tabprofile.llm import graphs, minhash, suffixes
 from tabprofile.llm.graphs import components
 from tabprofile.llm.minhash import keep_one, near_duplicates
+from tabprofile.session import materialise
 
 
 @pytest.mark.parametrize("hot", [64, 2])
@@ -203,3 +204,33 @@ def test_components_of_paths_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000 + i, 2000 + (i + 7) % 50) for i in range(50)] + [(5, 5), (3, 2)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)} | {2000 + i: 2000 for i in range(50)}
+
+
+@pytest.mark.parametrize("held", [1 << 20, 40])
+def test_components_of_hubs_and_long_paths(spark, monkeypatch, held):
+    """Links that fit a task need two steps whatever their paths; more of them meet in stars, with hubs that lie below and above their neighbours."""
+    steps = []
+    monkeypatch.setattr(graphs, "TASK_LINKS", held)
+    monkeypatch.setattr(graphs, "HUB_SHARE", 8)
+    monkeypatch.setattr(graphs, "materialise", lambda df: steps.append(df) or materialise(df))
+    links = [(i + 1, i) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 4000 + i) for i in range(300)] + [(4007, 301)]
+    rows = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    found = {r.node: r.root for r in components(rows).collect()}
+    assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(300)} | {i: 301 for i in (301, *range(4000, 4300), 5000)}
+    assert len(steps) == 2 if held > len(links) else len(steps) > 2
+
+
+def test_forest_keeps_components():
+    rng = np.random.default_rng(17)
+    a, b = rng.integers(0, 400, (2, 300))
+    a, b = a[a != b], b[a != b]
+    want = {n: min(g) for g in _groups(zip(a.tolist(), b.tolist())) for n in g if n != min(g)}
+    assert dict(zip(*(x.tolist() for x in graphs._forest(a, b)))) == want
+
+
+def _groups(links):
+    groups = []
+    for a, b in links:
+        met = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in met] + [set().union({a, b}, *met)]
+    return groups
