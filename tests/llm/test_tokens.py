@@ -35,6 +35,27 @@ def test_special_token_inside_a_text(plain, fast):
     assert np.frombuffer(fast.encode([text, None])[0], fast.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'.,&é\n\n\n 0"), max_size=12), max_size=8))
+def test_lines_give_the_ids_of_the_whole_text(plain, fast, parts):
+    text = " ".join(parts)
+    assert np.frombuffer(fast.encode([text])[0], fast.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_known_lines_are_not_encoded_again(plain):
+    """Words meet in new pairs wherever lines end; the library is asked once for each of them."""
+    enc = Encoder(open(default_tokenizer(), encoding="utf-8").read())
+    words = [f"wörd{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    enc.encode(["x " + " ".join(words) + "\n" + "\n".join(words)])
+    asked = []
+    enc._whole = lambda texts: asked.extend(texts) or [np.array(plain.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    encode_all = enc._encode_all
+    enc._encode_all = lambda new, *where: asked.extend(new) or encode_all(new, *where)
+    text = "x " + " ".join(f"{a}\n{b}" for a, b in zip(words[1:], words))
+    assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert not [a for a in asked if a != "x"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=40))
 def test_coding_round_trip(ranks):
