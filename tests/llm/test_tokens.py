@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tabprofile.llm import common
 from tabprofile.llm.common import Encoder, default_tokenizer
 from tabprofile.llm.packing import best_fill, fill_sequences, pack
 from tabprofile.llm.tokens import decode_ranks, encode_ranks, read_tokens, token_digest, write_tokens
@@ -56,6 +57,17 @@ def test_known_lines_are_not_encoded_again(plain):
     assert not [a for a in asked if a != "x"]
 
 
+def test_a_claim_releases_what_others_hold(monkeypatch):
+    given_back, released = [], []
+    monkeypatch.setattr(common, "_CLAIMED", {})
+    monkeypatch.setattr(common, "give_back", lambda: given_back.append(1))
+    common.claim("a", lambda: released.append("a"))
+    common.claim("a", lambda: released.append("a"))
+    common.powers(8)
+    common.claim("b", lambda: released.append("b"))
+    assert released == ["a"] and list(common._CLAIMED) == ["b"] and len(given_back) == 3 and common._powers.cache_info().currsize == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=40))
 def test_coding_round_trip(ranks):
