@@ -66,6 +66,17 @@ def test_texts_that_meet_in_a_hash_stay(spark, monkeypatch, collide):
     assert kept == sorted([*texts, ""])
 
 
+@pytest.mark.parametrize("turn", range(3))
+def test_copies_of_texts_that_meet_in_a_hash_go_in_any_order(spark, monkeypatch, turn):
+    """Whichever of two texts with one id and hash comes first, of each one copy stays."""
+    rng = np.random.default_rng(22)
+    monkeypatch.setattr(suffixes, "_text_hash", lambda: F.lit(7).cast("bigint"))
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), 150)) for _ in range(3)]
+    docs = [(5, t) for t in texts[turn:] + texts[:turn] for _ in range(2)]
+    kept = sorted(bytes(r.kept).decode() for r in suffixes.remove_repeats(fixtures.frame(spark, docs, 1)).collect())
+    assert kept == sorted([*texts, "", "", ""])
+
+
 def test_a_row_given_twice_keeps_its_text_once(spark):
     rng = np.random.default_rng(11)
     words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(400)]
