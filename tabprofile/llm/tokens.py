@@ -23,42 +23,62 @@ from tabprofile.sources.sinks import scratch_path
 
 #: byte counts of the four ids that a control byte describes
 _COUNTS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
-_BYTES = np.arange(4, dtype=np.uint8)
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _in_quads(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ids of documents of ``sizes`` where each document begins a control byte of its own, and how many control bytes each has."""
+    quads = -(-sizes // 4)
+    shift = 4 * (np.cumsum(quads) - quads) - (np.cumsum(sizes) - sizes)
+    return np.arange(sizes.sum()) + np.repeat(shift, sizes), quads
+
+
+def _kept(more: np.ndarray, wide: int) -> np.ndarray:
+    """Which of the ``wide`` low bytes of each rank are stored, byte by byte."""
+    keep = np.ones((len(more), wide), bool)
+    for k in range(1, wide):
+        np.greater_equal(more, k, out=keep[:, k])
+    return keep.reshape(-1)
+
+
+def encode_many(ranks: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control and data bytes of documents of ``sizes`` ids whose ranks follow one another."""
+    wide = 4 if len(ranks) and int(ranks.max()) > 0xFFFF else 2
+    more = (ranks > 0xFF).astype(np.uint8)
+    if wide == 4:
+        more += ranks > 0xFFFF
+        more += ranks > 0xFFFFFF
+    at, quads = _in_quads(sizes)
+    padded = np.zeros((int(quads.sum()), 4), np.uint8)
+    padded.reshape(-1)[at] = more
+    control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
+    low = ranks.astype(f"<u{wide}").view(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])[np.concatenate([[0], np.cumsum(sizes)])]
+    return _binary(control, quads), _binary(low[_kept(more, wide)], sizes + np.diff(ends))
+
+
+def decode_many(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`encode_many`: byte counts are looked up per control byte."""
+    counts = _COUNTS[np.frombuffer(control, np.uint8)].reshape(-1)[_in_quads(sizes)[0]]
+    wide = 2 if int(counts.max(initial=1)) <= 2 else 4
+    out = np.zeros(len(counts) * wide, np.uint8)
+    out[_kept(counts - np.uint8(1), wide)] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{wide}").astype("<u4", copy=False)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of one document's ranks."""
-    ranks = np.ascontiguousarray(ranks, "<u4")
-    n = len(ranks)
-    if n and int(ranks.max()) <= 0xFFFF:  # no id of the document needs more than two bytes
-        two = ranks > 0xFF
-        bits = np.zeros(-(-n // 4) * 4, np.uint8)
-        bits[:n] = two
-        quads = bits.reshape(-1, 4)
-        pairs = ranks.astype("<u2").view(np.uint8).reshape(n, 2)
-        keep = np.ones((n, 2), bool)
-        keep[:, 1] = two
-        return (quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).tobytes(), pairs[keep].tobytes()
-    width = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-n // 4) * 4, np.uint8)
-    padded[:n] = width
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    return control.tobytes(), ranks.view(np.uint8).reshape(n, 4)[_BYTES <= width[:, None]].tobytes()
+    control, data = encode_many(np.ascontiguousarray(ranks, "<u4"), np.array([len(ranks)]))
+    return control[0].as_py(), data[0].as_py()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The inverse of :func:`encode_ranks`: byte counts are looked up per control byte."""
-    counts = _COUNTS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    if int(counts.max(initial=1)) <= 2:
-        keep = np.ones((n, 2), bool)
-        keep[:, 1] = counts > 1
-        short = np.zeros((n, 2), np.uint8)
-        short[keep] = np.frombuffer(data, np.uint8)
-        return short.view("<u2").reshape(n).astype("<u4")
-    out = np.zeros((n, 4), np.uint8)
-    out[_BYTES < counts[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(n)
+    """The inverse of :func:`encode_ranks`."""
+    return decode_many(control, data, np.array([n]))
 
 
 def _tokenise(spec, end_id: int | None):
@@ -144,11 +164,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in pieces(batches, column="raw"):
-            coded = [encode_ranks(ranks[_numbers(*r)]) for r in zip(batch.column("raw").to_pylist(), batch.column("width").to_pylist())]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_ids"), pa.array([c for c, _ in coded], pa.binary()),
-                pa.array([d for _, d in coded], pa.binary()), batch.column("shard"),
-            ], ["doc_id", "n_ids", "control", "data", "shard"])
+            # the width is the vocabulary's, so it is that of every row
+            numbers = _numbers(b"".join(batch.column("raw").to_pylist()), batch.column("width")[0].as_py())
+            control, data = encode_many(ranks[numbers], batch.column("n_ids").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_ids"), control, data, batch.column("shard")],
+                                             ["doc_id", "n_ids", "control", "data", "shard"])
 
     coded = stored.where("raw IS NOT NULL").drop("tally").mapInArrow(run, "doc_id bigint, n_ids bigint, control binary, data binary, shard int")
     coded.sortWithinPartitions("shard", "doc_id").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/data")
@@ -165,10 +185,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
         for batch in pieces(batches, column="data"):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_ids")))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_ids"), pa.array([ids[decode_ranks(*r)].tobytes() for r in rows], pa.binary()), batch.column("shard"),
-            ], ["doc_id", "n_ids", "ids", "shard"])
+            sizes = batch.column("n_ids").to_numpy()
+            ranks = decode_many(*(b"".join(batch.column(c).to_pylist()) for c in ("control", "data")), sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_ids"), _binary(ids[ranks], 4 * sizes), batch.column("shard")],
+                                             ["doc_id", "n_ids", "ids", "shard"])
 
     stored = _stored(spark, path).select("doc_id", "n_ids", "control", "data", "shard")
     return stored.mapInArrow(run, "doc_id bigint, n_ids bigint, ids binary, shard int")

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from tabprofile.llm import common
 from tabprofile.llm.common import Encoder, default_tokenizer
 from tabprofile.llm.packing import best_fill, fill_sequences, pack
-from tabprofile.llm.tokens import decode_ranks, encode_ranks, read_tokens, token_digest, write_tokens
+from tabprofile.llm.tokens import decode_many, decode_ranks, encode_many, encode_ranks, read_tokens, token_digest, write_tokens
 from tabprofile.sources.sinks import scratch_path
 
 
@@ -76,6 +76,16 @@ def test_coding_round_trip(ranks):
     assert decode_ranks(control, data, len(ranks)).tolist() == ranks
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 300) | st.integers(0, 2**17), max_size=9), max_size=9))
+def test_documents_are_coded_together_as_alone(docs):
+    sizes = np.array([len(d) for d in docs], np.int64)
+    flat = np.array([r for d in docs for r in d], "<u4")
+    control, data = encode_many(flat, sizes)
+    assert list(zip(control.to_pylist(), data.to_pylist())) == [encode_ranks(np.array(d, "<u4")) for d in docs]
+    assert decode_many(b"".join(control.to_pylist()), b"".join(data.to_pylist()), sizes).tolist() == flat.tolist()
+
+
 def expected(plain, text):
     return [*plain.encode(text or "", add_special_tokens=False).ids, 0]
 
