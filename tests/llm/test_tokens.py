@@ -172,3 +172,16 @@ def test_every_id_is_in_one_piece(spark, plain, pool):
         assert [r.offset for r in parts] == np.cumsum([0, *(r.length for r in parts)])[:-1].tolist()
         total = sum(r.length for r in parts)
         assert total <= 1024 and total & total - 1 == 0  # a power of two needs no padding
+
+
+def test_words_are_remembered_once_whatever_follows_them():
+    """Signs and line feeds behind words are pieces of their own, and ids are those of the library on whole texts."""
+    enc = Encoder(open(default_tokenizer(), encoding="utf-8").read())
+    words = [f"{a}{b}on" for a in ("wort", "été", "Straße", "lun") for b in "abcdefghij"]
+    texts = ["; ".join(words)] + [f"{w}, x {w}. x {w}.\n{v} x {w}\n{v},\n{v}" for w, v in zip(words, words[1:])]
+    odd = ["a., b", "(a), b. c", ", a", ". a\nb", "a\n\nb, c", "a, b\n", "a\n b. c", "1, 2. 3", "²., x", "a \x01, b", "it's, we'll. x", "a, b.", "\na. b", "a,\nb", "a,b. c,", "", " a, b", "a . b , c"]
+    for many in (texts, odd):
+        assert enc.encode(many) == enc._whole(many)
+    spaced = {p for p in enc.later if not p.startswith("\x01")}
+    assert not {f"{w}{s}" for w in words for s in (",", ".")} & spaced
+    assert not any("\n" in p and p.split("\n")[0] in words for p in spaced)
