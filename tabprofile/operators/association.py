@@ -22,6 +22,8 @@ MAX_COLUMNS = 50
 TERMS_PER_AGGREGATE = 200
 #: Coefficients of ranks that one aggregate computes.
 SPEARMAN_PAIRS = 100
+#: Values of a slice in which ranks are taken: with more values there are more slices, not larger ones.
+RANKED_VALUES = 1_000_000
 INFORMATION_BINS = 10
 # Slices per side of the rank grid; the grid of one pair has at most the square of this.
 MAX_SLICES = 2048
@@ -172,7 +174,8 @@ def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
     of columns.  A frequent value spreads over slices like any other.
     """
     exprs = {n: as_double(df, n) for n in names}
-    nulls = scalars(df, {n: F.count_if(exprs[n].isNull()) for n in names})
+    facts = scalars(df, {**{(n, "gaps"): F.count_if(exprs[n].isNull()) for n in names}, "rows": F.count(F.lit(1))})
+    nulls = {n: facts[n, "gaps"] for n in names}
     ranked: dict[tuple[str, str | None], int] = {}
     columns: list[Column] = []
 
@@ -185,8 +188,9 @@ def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
     used = {(a, b): (ranking(a, b), ranking(b, a)) for a, b in _pairs_with_diagonal(names)}
     rows = materialise(df.select(F.array(*columns).alias("x")).withColumn("row", F.monotonically_increasing_id()))
-    ranks = _average_ranks(rows.select("row", F.posexplode("x").alias("ranking", "value")).where("value is not null"))
-    wide = ranks.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("ranking", "rank"))).alias("r"))
+    parts = max(shuffle_partitions(df.sparkSession), -(-facts["rows"] * len(columns) // RANKED_VALUES))
+    ranks = _average_ranks(rows.select("row", F.posexplode("x").alias("ranking", "value")).where("value is not null"), parts)
+    wide = _in_parts(ranks, parts, "row").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("ranking", "rank"))).alias("r"))
     wide = materialise(wide.select(F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.col("r")[i]).alias("r")))
     out = []
     for group in chunks(list(used), SPEARMAN_PAIRS):
@@ -196,14 +200,19 @@ def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return _both_ways(union_all(out))
 
 
-def _average_ranks(values: DataFrame) -> DataFrame:
+def _in_parts(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows by ``keys`` in ``parts`` partitions where these are more than a shuffle makes by itself."""
+    return df.repartition(parts, *keys) if parts > shuffle_partitions(df.sparkSession) else df
+
+
+def _average_ranks(values: DataFrame, parts: int) -> DataFrame:
     """``row, ranking, rank`` from ``row, ranking, value``: 1-based ranks within a ranking, equal values sharing their mean.
 
     Slices are sorted on their own.  A value may go on in later slices, but only a slice's first and last value of a ranking can; their
     counts and the slices' sizes, two short rows per slice and ranking, tell where each slice begins and how far its edges reach.
     """
     slices = materialise(
-        values.repartitionByRange(shuffle_partitions(values.sparkSession), "ranking", "value", "row").withColumn("slice", F.spark_partition_id()))
+        values.repartitionByRange(parts, "ranking", "value", "row").withColumn("slice", F.spark_partition_id()))
     counts = slices.groupBy("slice", "ranking").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     at_edge = slices.join(F.broadcast(counts), ["slice", "ranking"]).groupBy("slice", "ranking").agg(
         F.count_if(F.col("value") == F.col("low")).alias("n_low"), F.count_if(F.col("value") == F.col("high")).alias("n_high"))
@@ -219,7 +228,7 @@ def _average_ranks(values: DataFrame) -> DataFrame:
         # the value's first row: its slice's base where it is the low end, else behind the other rows of that slice
         F.min(F.when(F.col("value") == F.col("_low"), F.col("base")).otherwise(F.col("base") + F.col("n") - F.col("n_high"))).alias("first"))
     inner = Window.partitionBy("slice", "ranking").orderBy("value")
-    placed = slices.join(F.broadcast(edges.select("slice", "ranking", "base")), ["slice", "ranking"])
+    placed = _in_parts(slices, parts, "slice", "ranking").join(F.broadcast(edges.select("slice", "ranking", "base")), ["slice", "ranking"])
     placed = placed.withColumn("_less", F.rank().over(inner) - 1 + F.col("base")).withColumn(
         "_equal", F.count(F.lit(1)).over(Window.partitionBy("slice", "ranking", "value")))
     found = placed.join(F.broadcast(whole), ["ranking", "value"], "left")

@@ -495,3 +495,15 @@ def test_anova_of_many_columns_reads_the_table_once(spark, tmp_path):
         assert got[c] == pytest.approx(between / within, rel=1e-9)
     assert got["none"] is None
     assert {r["f"] for r in quality.anova_f(spark.read.parquet(path).where("false"), names, "t").collect()} == {None}
+
+
+def test_ranks_are_taken_in_more_slices_not_larger_ones(spark, gappy, monkeypatch):
+    """Slices follow the number of values, so that no task holds more of them as tables grow."""
+    df = spark.createDataFrame(gappy)
+    want = matrix(association.correlation_matrix(df, "spearman"))
+    held, real = [], association._in_parts
+    monkeypatch.setattr(association, "_in_parts", lambda d, n, *keys: held.append((keys, (out := real(d, n, *keys)).rdd.getNumPartitions(), n)) or out)
+    monkeypatch.setattr(association, "RANKED_VALUES", 20)
+    got = matrix(association.correlation_matrix(df, "spearman"))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(held) == 2 and all(parts == n and n * 20 >= len(gappy) * 2 for _, parts, n in held)
