@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabprofile.operators import metrics, resample, split, steps
-from tabprofile.plans import eda, explain, models, training
+from tabprofile.plans import eda, explain, models, preprocess, training
 from tabprofile.plans.preprocess import fit_preprocessor
 from tabprofile.plans.spec import CandidateModel, FeatureStep, TaskSpec, approve, complete_plan
 from tabprofile.sources.loading import load_dataset
@@ -481,3 +481,23 @@ def test_learners_get_partitions_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(training, "build_estimator", lambda *a, **k: Spy(real(*a, **k)))
     training.fit_model(prepared, prepared.train, ["a", "b"], [], "Ridge", {})
     assert len(sizes) > 20 and max(sizes) <= 30
+
+
+def test_classes_share_the_passes_of_an_encoding(spark, monkeypatch):
+    """The sums of all classes come from one grouping, and a row's fold is computed once; figures are those of classes on their own."""
+    df = frame(spark, id=range(300), c=[None if i % 11 == 0 else "abcdef"[i * i % 6] for i in range(300)], label=[float(i % 7 % 3) for i in range(300)])
+    alone = [preprocess.fit_encoding(df, "c", (F.col("label") == k).cast("double"), preprocess.encoding_fold("id"), k) for k in (0.0, 1.0, 2.0)]
+    stored, real = [], preprocess.materialise
+    monkeypatch.setattr(preprocess, "materialise", lambda d: stored.append(d) or real(d))
+    prep = fit_preprocessor(df, ["c"], "label", "id", classes=[0.0, 1.0, 2.0])
+    assert len(stored) == 1
+    for a, b in zip(alone, prep.encodings, strict=True):
+        assert (a.label, a.prior, a.fold_priors) == (b.label, b.prior, b.fold_priors)
+        assert sorted(a.table.collect()) == sorted(b.table.collect()) and sorted(a.folds.collect()) == sorted(b.folds.collect())
+    hashed, fold = [], preprocess.encoding_fold
+    monkeypatch.setattr(preprocess, "encoding_fold", lambda key: hashed.append(key) or fold(key))
+    seen = prep.transform_training(df, "id", "x", as_array=True)
+    assert hashed == ["id"] and seen.columns == [*df.columns, "x"]
+    folds = [{(r.v, r.f): r.e for r in e.folds.collect()} for e in prep.encodings]
+    for r in seen.withColumn("f", fold("id")).collect():
+        assert r.x == [t.get((r.c, r.f), e.fold_priors[r.f]) for t, e in zip(folds, prep.encodings)]
