@@ -22,12 +22,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.35
 
 
-#: Rows of an Arrow batch between Spark and Python: documents are long, and batches are held on both sides.
-BATCH_ROWS = "1000"
+#: Rows of a batch that Spark reads from a file or exchanges with Python: documents are long, and batches are held on both sides.
+BATCH_ROWS = "500"
 
 
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
