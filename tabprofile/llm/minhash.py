@@ -424,10 +424,11 @@ def _grouped(docs: DataFrame, percent: int, words: int, region: int) -> DataFram
                 "label", F.substring(F.col("minima"), F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4)))
             ordered = ordered.repartitionByRange(buckets, "tree", "region", "label", "node").sortWithinPartitions("tree", "region", "label", "node")
             links = links.unionAll(ordered.select("region", "node", "minima", "shingles").mapInPandas(_solve_blocks(percent, region), _LINKS))
-        groups = materialise(components(links))
+        groups = materialise(components(materialise(links)))
         linked = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
         links = linked.unionAll(_remaining_links(large, groups, percent, region))
-    groups = components(links)
+    # stored first: else each task holds a worker that solves and one that makes forests, and as many stay with the executor for all later stages
+    groups = components(materialise(links))
     # the smallest document of a group speaks for it
     named = nodes.select("node", "d1", "d2", "n", "id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))

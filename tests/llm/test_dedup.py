@@ -192,6 +192,15 @@ def test_sorted_orders_find_common_prefixes(spark, monkeypatch, ranges):
         assert {r.node: r.root for r in components(minhash._runs(forest, depth)).collect()} == want
 
 
+@pytest.mark.parametrize("options", [{}, {"region": 8}])
+def test_links_are_stored_before_their_forests(spark, monkeypatch, options):
+    """What finds links and what makes forests of them never share a task, which would hold two Python workers and leave both with its executor."""
+    plans, real = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or real(links))
+    near_duplicates(fixtures.frame(spark, fixtures.family(), 4), **options).count()
+    assert len(plans) >= 2 and not any(python in plan for plan in plans for python in ("MapInArrow", "InPandas"))
+
+
 def test_a_row_repeated_very_often(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = [(7, text)] * 20_000 + [(8, text + " more"), (9, text), (None, None), (None, None)]
