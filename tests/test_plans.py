@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tabprofile.functions import sampling
 from tabprofile.operators import metrics, resample, split, steps
 from tabprofile.plans import eda, explain, models, preprocess, training
 from tabprofile.plans.preprocess import fit_preprocessor
@@ -438,6 +439,23 @@ def test_content_key_does_not_depend_on_layout(spark):
     assert first == second and len({k for k, _ in first}) == 300
 
 
+def test_rows_without_a_key_are_stored_and_hashed_once(spark, monkeypatch):
+    """A regression's rows are keyed, split and hashed for their folds in one pass; the folds are those of a hash taken anew, and scores are not stored."""
+    stored, real = [], training.materialise
+    monkeypatch.setattr(training, "materialise", lambda d: stored.append(d) or real(d))
+    prepared = training.prepare(frame(spark, x=[float(i % 90) for i in range(300)], y=[float(i % 7) for i in range(300)]), TaskSpec("regression", "y", "rmse"))
+    assert len(stored) == 1 and prepared.features == ["x"]
+    hashed, unit = [], sampling.unit_hash
+    monkeypatch.setattr(sampling, "unit_hash", lambda *a: hashed.append(a) or unit(*a))
+    placed, tests = training._rounds(prepared, 3)
+    assert not hashed and len(tests) == 3 and placed.columns == [c for c in prepared.data.columns if c != training.FOLD_UNIT] + ["fold"]
+    want = training.S.plain_folds(prepared.train, prepared.key, 3)
+    assert sorted(placed.select(prepared.key, "fold").collect()) == sorted(want.select(prepared.key, "fold").collect())
+    model = training.fit_model(prepared, prepared.train, ["x"], [], "Ridge", {})[0]
+    before = len(stored)
+    assert set(training.evaluate_model(model, prepared.test, prepared.task)) == {"rmse", "mae", "r2"} and len(stored) == before
+
+
 def test_rows_of_a_fold_are_prepared_once_for_all_trials(spark, monkeypatch):
     rng = np.random.default_rng(3)
     df = frame(spark, id=range(300), a=rng.normal(size=300), c=rng.choice(list("xyz"), 300))
