@@ -519,3 +519,17 @@ def test_classes_share_the_passes_of_an_encoding(spark, monkeypatch):
     folds = [{(r.v, r.f): r.e for r in e.folds.collect()} for e in prep.encodings]
     for r in seen.withColumn("f", fold("id")).collect():
         assert r.x == [t.get((r.c, r.f), e.fold_priors[r.f]) for t, e in zip(folds, prep.encodings)]
+
+
+def test_folds_that_a_search_has_fitted_are_not_fitted_again(spark, monkeypatch):
+    rows = [(i, float(i % 7), float(i * 3 % 11), float(i % 7 + i * 3 % 11 + i % 2)) for i in range(90)]
+    prepared = training.prepare(spark.createDataFrame(rows, "id long, a double, b double, y double"), TaskSpec("regression", "y", "rmse"), key="id")
+    fits, fit = [], training.fit_model
+    monkeypatch.setattr(training, "fit_model", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    result = training.train_candidate(
+        prepared, CandidateModel("linear", "LinearRegression", {"regParam": 0.1}), [], training.Options(cv_folds=3, tuning_trials=2))
+    assert result.status == "succeeded" and result.cv_folds == 3 and len(result.trials) == 2
+    assert len(fits) == 2 * 3 + 1  # each trial in each fold, and the model itself
+    assert result.cv_metrics["rmse"][0] == pytest.approx(result.trials[-1].best_score)
+    forests = [models.build_estimator("RandomForestRegressor", {"max_depth": d, "random_state": 0}, 90) for d in (4, 12)]
+    assert [f.getCacheNodeIds() for f in forests] == [False, True]
