@@ -1,11 +1,14 @@
 """Steps, splits, balancing, preprocessing, training and explanation."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tabprofile import session
 from tabprofile.functions import sampling
 from tabprofile.operators import metrics, resample, split, steps
 from tabprofile.plans import eda, explain, models, preprocess, training
@@ -533,3 +536,30 @@ def test_folds_that_a_search_has_fitted_are_not_fitted_again(spark, monkeypatch)
     assert result.cv_metrics["rmse"][0] == pytest.approx(result.trials[-1].best_score)
     forests = [models.build_estimator("RandomForestRegressor", {"max_depth": d, "random_state": 0}, 90) for d in (4, 12)]
     assert [f.getCacheNodeIds() for f in forests] == [False, True]
+
+
+def test_content_keys_are_stored_short_and_their_shuffle_goes(spark, monkeypatch):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    df = spark.createDataFrame([(float(i % 40), "xyz"[i % 3], float(i % 5)) for i in range(300)], "a double, s string, y double")
+    before = shuffled()
+    with session.shuffles_dropped(spark):
+        session.materialise(df.repartition(3, "a"))
+    until = time.monotonic() + 5
+    while (left := shuffled() - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    asked, real = [], training.materialise
+    monkeypatch.setattr(training, "materialise", lambda df: asked.append(spark.conf.get(session._CLEANUP)) or real(df))
+    prepared = training.prepare(df, TaskSpec("regression", "y", "rmse"))
+    assert asked == ["true"] and spark.conf.get(session._CLEANUP, "false") == "false"
+    assert spark.read.parquet(*prepared.data.inputFiles()).schema["_row"].dataType.typeName() == "struct"
+    content = F.md5(F.to_json(F.struct("a", "s", "y")))
+    counts = {r[0]: r[1] for r in df.groupBy(content).count().collect()}
+    wanted = {f"{h}-{k}" for h, n in counts.items() for k in range(1, n + 1)}
+    found = [r[0] for r in prepared.data.select("_row").collect()]
+    assert len(found) == 300 and set(found) == wanted
+    placed, _ = training._rounds(prepared, 3)
+    assert {r[0] for r in placed.select("_row").collect()} == {r[0] for r in prepared.train.select("_row").collect()}
