@@ -1,3 +1,7 @@
+import collections
+import dataclasses
+import math
+
 import fixtures
 import numpy as np
 import pytest
@@ -158,3 +162,32 @@ def test_scoring_edge_cases(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 2, 2, 70_000]
     assert all((r.per_token is None) == (r.n_tokens == 0) and r.log_likelihood <= 0 for r in got)
     assert masked_lm.score_documents(docs.where("false"), masked_lm.learn_model(docs.where("false"), 1)).count() == 0
+
+
+def test_every_token_is_learned_and_words_of_a_class_are_told_apart(spark, monkeypatch):
+    # more words than tokens: "sword" is much rarer than "aword" of the same ending and case
+    texts = [" ".join(f"x{i:03d}q" for i in range(k, k + 60)) for k in range(0, 600, 60) for _ in range(3)] + ["aword " * 2] * 1 + ["sword"]
+    docs = fixtures.frame(spark, list(enumerate(texts)))
+    learned, average = [], masked_lm._average
+    monkeypatch.setattr(masked_lm, "_average", lambda pdf: learned.append(int(pdf["n"].sum())) or average(pdf))
+    model = masked_lm.learn_model(docs, 1)
+    words = sum(len(t.split()) for t in texts)
+    assert learned[-1] == words  # the last call sums over all tasks
+    counts = collections.Counter(w for t in texts for w in t.split())
+    whole, kind, _ = masked_lm.word_hashes([w.encode() for w in counts])
+    tokens = model.vocabulary.tokens(whole, kind)
+    totals = collections.Counter()
+    for t, n in zip(tokens, counts.values()):
+        totals[t] += n
+    share = {w: 0.0 if t < masked_lm.WHOLE else math.log(n / (totals[t] + 1)) for (w, n), t in zip(counts.items(), tokens)}
+    assert {"aword", "sword"} <= {w for w, v in share.items() if v < 0}
+    flat = masked_lm.Shares(model.shares.hashes[:0], model.shares.logs[:0], model.shares.table, model.shares.unseen)
+    asked = fixtures.frame(spark, [(1, "aword x001q sword sword"), (2, "never aword"), (None, None)])
+    got = [{r.doc_id: r for r in masked_lm.score_documents(asked, m).collect()} for m in (model, dataclasses.replace(model, shares=flat))]
+    assert got[0][1].log_likelihood == pytest.approx(got[1][1].log_likelihood)  # sent to all tasks, or joined
+    for key, text in ((1, "aword x001q sword sword"), (2, "never aword")):
+        whole, kind, n = masked_lm.word_hashes([text.encode()])
+        tokens = model.vocabulary.tokens(whole, kind)
+        logs = masked_lm.log_probabilities(model.weights, masked_lm.windows(tokens, n), tokens)
+        own = [share.get(w, -math.log(totals[t] + 1)) for w, t in zip(text.split(), tokens)]
+        assert got[0][key].log_likelihood == pytest.approx(logs.sum() + sum(own), rel=1e-6)
